@@ -18,7 +18,7 @@ from typing import Any
 from skeinql.errors import Code, Refused
 from skeinql.functions.expr import Aggregate, Named, Scalar, type_of
 from skeinql.operators.fetch import child
-from skeinql.plans.query import Nested, Query, output_name
+from skeinql.plans.query import Nested, Query
 from skeinql.plans.schema import Schema, Table
 
 
@@ -92,6 +92,8 @@ def model(schema: Schema, root: str | Table, single_group: bool = False):
 
     def wrap(cls: type) -> type:
         parts = {n: p for n, p in vars(cls).items() if isinstance(p, Part)}
+        if taken := _TAKEN & set(parts):
+            raise Refused(Code.DUPLICATE_NAME, f"{sorted(taken)} are a model's own")
         cls.parts, cls.root = parts, root if isinstance(root, Table) else schema.root(root)
         cls.single_group = single_group
         for n in parts:
@@ -100,13 +102,17 @@ def model(schema: Schema, root: str | Table, single_group: bool = False):
         cls.__repr__ = lambda self: f"{cls.__name__}({', '.join(f'{k}={v!r}' for k, v in self._values.items())})"
         cls.__eq__ = lambda self, other: type(self) is type(other) and self._values == other._values
         cls.__hash__ = None
-        cls.query, cls.items, cls.insert_columns, cls.changes_of = classmethod(_query), classmethod(_items), classmethod(_insert_columns), classmethod(_changes)
+        cls.query, cls.model_items, cls.insert_columns, cls.changes_of = classmethod(_query), classmethod(_items), classmethod(_insert_columns), classmethod(_changes)
         cls.selected = property(lambda self: set(self._values))
         return cls
 
     return wrap
 
 
+#: Names that a model class has itself.
+_TAKEN = {"parts", "root", "single_group", "query", "model_items", "insert_columns", "changes_of", "selected"}
+
+
 class _Attribute:
     def __init__(self, name: str):
         self.name = name
@@ -136,7 +142,7 @@ def _items(cls, table: Table, names: list[str] | None = None) -> list:
             continue
         if p.kind == "nested":
             t = p.make(table)
-            out.append(Nested(n, t, tuple(p.options[0].items(t))))
+            out.append(Nested(n, t, tuple(p.options[0].model_items(t))))
         else:
             out.append(Named(p.make(table), n))
     return out
@@ -144,14 +150,14 @@ def _items(cls, table: Table, names: list[str] | None = None) -> list:
 
 def _query(cls, names: list[str] | None = None) -> Query:
     """The model's query with its default attributes, or those named."""
-    q = Query(cls.root, tuple(cls.items(cls.root, names)))
+    q = Query(cls.root, tuple(cls.model_items(cls.root, names)))
     keys = [p.make(cls.root) for n, p in cls.parts.items() if p.kind == "group" and (names is None or n in names)]
     if keys or cls.single_group:
         q = replace(q, group=tuple(keys))
     for n, p in cls.parts.items():
         if p.kind == "children" and (names is None or n in names):
             relation, of, parent_key, order, most, single = p.options
-            q = q.child(child(n, cls.root, relation, of.items, parent_key, order, most, single))
+            q = q.child(child(n, cls.root, relation, of.model_items, parent_key, order, most, single))
     return q.mapped(lambda row: _instance(cls, row))
 
 
@@ -183,6 +189,3 @@ def _insert_columns(cls, instance: Any) -> dict[str, Any]:
 def _changes(cls, instance: Any) -> dict[str, Any]:
     """A change set for an update: the stored values that the instance holds, keys apart."""
     return {c: v for c, v in cls.insert_columns(instance).items() if c not in cls.root.key and c != cls.root.entity.version}
-
-
-__all__ = ["Converter", "aggregate", "children", "column", "computed", "group_key", "model", "nested", "output_name", "subtype", "windowed"]

@@ -285,7 +285,7 @@ class Scope:
             case C.Like():
                 return self._like(c)
             case C.Fits():
-                return F.coalesce(self.column(c.test), F.lit(False))
+                return self.column(c.test)
             case C.OfType():
                 values = [v for t in c.types for v in c.table.entity.values(t)]
                 at = self.at(c.table, c.table.entity.discriminator)
