@@ -135,9 +135,12 @@ def _listed(spans: Column) -> Column:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for each row of ``docs``."""
     df = with_spans(docs.select("doc_id", "text"))
-    count = [F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     return df.select(
-        "doc_id", *count, F.size("__random").cast("long").alias("n_random"), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"),
+        "doc_id", *map(count, range(3)), F.size("__random").cast("long").alias("n_random"), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("__base", "__random"))).alias("spans"),
     )
 
