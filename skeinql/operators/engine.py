@@ -27,6 +27,24 @@ BROADCAST_KEYS = 100_000
 COUNT_MODES = ("count", "no_count", "only_count", "inline_count")
 
 
+@dataclass(frozen=True)
+class KeyGroups:
+    """``column``'s value for a key, where it follows from the key: a read by keys then has a condition on it.
+
+    Beyond ``most`` values, the condition is the range from the least to the greatest.
+    """
+
+    column: Col
+    value: Callable[[Any], Any]
+    most: int = 1000
+
+    def narrowed(self, q: Query, keys: list[tuple]) -> Query:
+        values = sorted({self.value(k if len(k) > 1 else k[0]) for k in keys})
+        if len(values) > self.most:
+            return q.where(lambda f: f.between(self.column, values[0], values[-1]))
+        return q.where(lambda f: f.is_in(self.column, values))
+
+
 @dataclass(frozen=True)
 class Page:
     items: list
@@ -90,8 +108,11 @@ class Engine:
         found = self.list(q, 1)
         return found[0] if found else None
 
-    def by_keys(self, q: Query, keys: Iterable) -> dict:
-        """Rows by key, in the order of the keys' first mention; keys without a row are not there."""
+    def by_keys(self, q: Query, keys: Iterable, groups: KeyGroups | None = None) -> dict:
+        """Rows by key, in the order of the keys' first mention; keys without a row are not there.
+
+        ``groups``: what the keys tell of the partitions that hold them, so that a scan skips the others.
+        """
         if not q.key:
             raise Refused(Code.NEEDS_KEY, "by_keys")
         asked = list(dict.fromkeys(_tuple(k) for k in keys))
@@ -99,7 +120,7 @@ class Engine:
             return {}
         if q.grouped or any(x.table.many for i in q.items for x in columns(i)):
             raise Refused(Code.TO_MANY_SELECTION, "by_keys reads one row a key")
-        c = self.compiled(replace(q, order=()))
+        c = self.compiled(groups.narrowed(replace(q, order=()), asked) if groups else replace(q, order=()))
         out = self._with_keys(c, asked).select(*c.names, *(F.col(k) for k in c.key))
         rows = out.collect()
         found: dict[tuple, Row] = {}

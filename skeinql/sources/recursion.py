@@ -1,4 +1,8 @@
-"""Recursive sources: one join a level, until a level is empty."""
+"""Recursive sources: one join a level, until a level is empty.
+
+Every level is kept (checkpointed if the session names a checkpoint folder, else persisted), so that a walk of d levels
+costs d joins and its lineage doesn't grow.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,15 @@ if TYPE_CHECKING:
     from skeinql.plans.compiler import Compiler
     from skeinql.plans.query import Source
 
-#: Levels after which lineage is cut, if the session has a checkpoint folder.
-CUT = 8
-
 
 def _key(fields: tuple[str, ...], side: str) -> Column:
     return F.struct(*(F.col(f"{side}.`{f}`") for f in fields))
 
 
+def _kept(level: DataFrame, can_cut: bool) -> DataFrame:
+    return level.checkpoint() if can_cut else level.persist()
+
+
 def _refuse(when: Column, code: Code, why: str) -> Column:
     return F.when(when, F.raise_error(F.lit(f"{code.value} {code.name}: {why}")).cast("int")).otherwise(F.lit(0))
 
@@ -38,11 +43,12 @@ def walked(compiler: Compiler, s: Source) -> DataFrame:
     links = compiler.query(r.links).visible()
     names = s.query.names
     spark = compiler.catalog.spark
-    can_cut = spark.sparkContext.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", None)
+    can_cut = bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
     if can_cut and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
     level = seeds.alias("s").select(*(F.col(f"s.`{n}`") for n in names), F.array(_key(r.child, "s")).alias("__path"), F.lit(False).alias("__cycle"))
+    level = _kept(level, can_cut)
     levels = [level.withColumn(depth, F.lit(0).cast("long"))]
     for d in range(1, r.max_depth + 2):
         above = level.where(~F.col("__cycle")).alias("a")
@@ -52,8 +58,7 @@ def walked(compiler: Compiler, s: Source) -> DataFrame:
             on = term if on is None else on & term
         own = F.struct(*(F.col(f"l.`{c}`") for c in r.child))
         level = links.alias("l").join(above, on).select(*(F.col(f"l.`{n}`") for n in names), F.concat(F.col("a.__path"), F.array(own)).alias("__path"), F.array_contains(F.col("a.__path"), own).alias("__cycle"))
-        if d % CUT == 0 and can_cut:
-            level = level.checkpoint()
+        level = _kept(level, can_cut)
         if level.isEmpty():
             break
         levels.append(level.withColumn(depth, F.lit(d).cast("long")))

@@ -5,10 +5,13 @@ import pytest
 from skeinql.declare import Converter, aggregate, children, column, computed, group_key, model, nested
 from skeinql.errors import Code, Refused
 from skeinql.functions.expr import Agg, concat, plus
+from skeinql.inspection import filters_of, filters_on, joins_of
+from skeinql.operators.engine import KeyGroups
 from skeinql.operators.fetch import Enricher, child
 from skeinql.operators.write import Conflict, Delete, Insert, Update, Writer
 from skeinql.plans.query import select_from
 from skeinql.plans.schema import Entity, Schema
+from skeinql.repository import Repository
 from skeinql.streaming.stateless import file_stream, streamed, windowed_counts
 from tests.fixture import SCHEMA, engine, items_rows, orders_rows, sort_rows
 from tests.test_filters import refused
@@ -211,3 +214,31 @@ def test_streams(spark, tmp_path):
         streamed(e.catalog, q.order_by(t["id"].asc()), df)
     batch = df.selectExpr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10) as at", "k")
     assert sum(r["n"] for r in windowed_counts(batch, "at", "k").collect()) == 30
+
+
+def test_key_groups_prune_partitions(spark, tmp_path):
+    schema = Schema(Entity("parted", ("id",)))
+    t = schema.root("parted")
+    spark.range(100).selectExpr("id", "id % 3 as v", "cast(id div 10 as int) as month").write.partitionBy("month").parquet(f"{tmp_path}/parted")
+    e = engine(spark, parted=spark.read.parquet(f"{tmp_path}/parted"))
+    groups = KeyGroups(t["month"], lambda k: k // 10)
+    q = select_from(t, t["id"], t["v"])
+    assert list(e.by_keys(q, [42, 7, 41], groups)) == [42, 7, 41]
+    narrowed = groups.narrowed(q, [(42,), (7,)])
+    assert filters_of(narrowed) == [("in", "month", (0, 4))] and "PartitionFilters: [isnotnull(month" in e.explain(narrowed) or "PartitionFilters: [month" in e.explain(narrowed)
+    assert filters_of(KeyGroups(t["month"], lambda k: k // 10, most=1).narrowed(q, [(42,), (7,)])) == [("gte", "month", 0), ("lte", "month", 4)]
+
+
+def test_inspection():
+    q = Q.where(lambda f: f.ne(O["status"], "NEW").or_(lambda g: g.gt(O["total"], 5), lambda g: g.eq(O.join("customer")["name"], "x")))
+    assert filters_of(q) == [("or", ("ne", "status", "NEW"), ("is_null", "status")), ("or", ("gt", "total", 5), ("eq", "customer.name", "x"))]
+    assert joins_of(q) == {"customer"} and filters_on(q, O["total"]) == [filters_of(q)[1]]
+
+
+def test_repository(spark):
+    r = Repository(engine(spark), Q)
+    assert r.find(5)["id"] == 5 and r.count(lambda f: f.eq(O["status"], "NEW")) == 10 and not r.exists(lambda f: f.lt(O["id"], 0))
+    assert [x["id"] for x in r.find_all(sort=[("id", "desc")], limit=2)] == [39, 38] and list(r.find_by_keys([3, 1])) == [3, 1]
+    assert r.page(38, 10).total == 40 and len(r.slice(7).items) == 7
+    assert r.update({"status": "X"}, lambda f: f.lt(O["id"], 3)).count() == 3 and r.delete(lambda f: f.lt(O["id"], 3)).after.count() == 37
+    assert r.insert({"id": 77, "status": "NEW"}).after.count() == 41
