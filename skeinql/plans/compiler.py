@@ -240,16 +240,35 @@ class Scope:
     def _correlated(self, x: Correlated) -> Column:
         inner = Scope(self.compiler, x.sub.table, self)
         value = x.value if x.value is not None else x.sub.column
+        inner.need_all(*([value] if value is not None else []), *(o.by for o in x.order))
         rows = inner.filtered(x.sub.condition)
-        if x.kind in ("count", "exists"):
-            n = F.count(F.lit(1))
-            return rows.select(n if x.kind == "count" else n > 0).scalar()
         if x.kind == "first":
-            for o in x.order:
-                inner.need_all(o.by)
             order = [ordered(inner.column(o.by), o) for o in x.order] + [inner.at(x.sub.table, k).asc_nulls_last() for k in x.sub.table.key]
-            return inner.frame.where(inner.condition(x.sub.condition)).orderBy(*order).limit(1).select(inner.column(value)).scalar()
-        return rows.select(getattr(F, x.kind)(inner.column(value))).scalar()
+            return rows.orderBy(*order).limit(1).select(inner.column(value)).scalar()
+        return rows.select(inner.total(x, value)).scalar()
+
+    def total(self, x: Correlated, value: Scalar | None) -> Column:
+        """The aggregate of a correlated value, in the sub-query's own scope."""
+        n = F.count(F.lit(1))
+        return n if x.kind == "count" else n > 0 if x.kind == "exists" else getattr(F, x.kind)(self.column(value))
+
+    def share_subqueries(self, *trees: Any) -> None:
+        """Correlated values over the same rows are one struct of one sub-query, so that those rows are read once."""
+        over: dict[Any, list[Correlated]] = {}
+        for t in trees:
+            for x in expressions(t):
+                if isinstance(x, Correlated) and x.kind != "first" and x not in over.setdefault(x.sub, []):
+                    over[x.sub].append(x)
+        for i, (s, xs) in enumerate((s, xs) for s, xs in over.items() if len(xs) > 1):
+            inner = Scope(self.compiler, s.table, self)
+            values = [x.value if x.value is not None else s.column for x in xs]
+            inner.need_all(*(v for v in values if v is not None))
+            rows = inner.filtered(s.condition)
+            made = F.struct(*(inner.total(x, v).alias(f"v{j}") for j, (x, v) in enumerate(zip(xs, values, strict=True))))
+            self.frame = self.frame.withColumn(f"__s{i}", rows.select(made).scalar())
+            for j, x in enumerate(xs):
+                found = F.col(f"__s{i}.v{j}")
+                self.known[x] = F.coalesce(found, F.lit(0 if x.kind == "count" else False)) if x.kind in ("count", "exists") else found
 
     def need_all(self, *trees: Any, weak: bool = False) -> None:
         for t in tables_of(*trees):
@@ -436,6 +455,7 @@ class Compiler:
             for x, name in calls.items():
                 scope.frame = scope.frame.withColumn(name, self._window(x, scope, source_key))
                 scope.known[x] = F.col(name)
+        scope.share_subqueries(*q.items, *(o.by for o in q.order))
         for item in q.items:
             columns.append(self._nested(item, scope) if isinstance(item, Nested) else scope.column(item).alias(output_name(item)))
         order = []
