@@ -154,11 +154,22 @@ def _query(cls, names: list[str] | None = None) -> Query:
     keys = [p.make(cls.root) for n, p in cls.parts.items() if p.kind == "group" and (names is None or n in names)]
     if keys or cls.single_group:
         q = replace(q, group=tuple(keys))
+    for c in _children(cls, cls.root, names):
+        q = q.child(c)
+    return q.mapped(lambda row: _instance(cls, row))
+
+
+def _children(cls, table: Table, names: list[str] | None = None) -> list:
+    """Children of a model, and theirs."""
+    out = []
     for n, p in cls.parts.items():
         if p.kind == "children" and (names is None or n in names):
             relation, of, parent_key, order, most, single = p.options
-            q = q.child(child(n, cls.root, relation, of.model_items, parent_key, order, most, single))
-    return q.mapped(lambda row: _instance(cls, row))
+            c = child(n, table, relation, of.model_items, parent_key, order, most, single)
+            for inner in _children(of, c.table):
+                c = c.child(inner)
+            out.append(c)
+    return out
 
 
 def _instance(cls, row: Any) -> Any:

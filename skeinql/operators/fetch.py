@@ -38,6 +38,11 @@ class Child:
     most: int | None = None
     single: bool = False
     relation: Relation | None = None
+    children: tuple = ()
+
+    def child(self, inner: Child) -> Child:
+        """Children of the children; ``inner.parent_key`` names items of this one."""
+        return replace(self, children=(*self.children, inner))
 
     def where(self, build: Callable) -> Child:
         return replace(self, condition=All((*self.condition.terms, *conditions(build).terms)))
@@ -53,7 +58,11 @@ def child(name: str, parent: Table, relation: str, items: Callable[[Table], list
 
 def attach(engine: Engine, q: Query, rows: DataFrame) -> DataFrame:
     """``rows`` with an array column for each child of ``q``: one aggregation and one join a child, in the same plan."""
-    for c in q.children:
+    return _attached(engine, q, rows, q.children)
+
+
+def _attached(engine: Engine, q: Query, rows: DataFrame, children: tuple) -> DataFrame:
+    for c in children:
         compiler = engine.compiler(q)
         scope = Scope(compiler, c.table)
         r = c.relation
@@ -74,8 +83,10 @@ def attach(engine: Engine, q: Query, rows: DataFrame) -> DataFrame:
         # rank in the parent's order first: sorting an array knows one direction only
         order = [ordered(scope.column(o.by), o) for o in c.order] + [scope.at(c.table, k).asc_nulls_last() for k in c.table.key]
         rank = F.row_number().over(Window.partitionBy(*foreign).orderBy(*order)) if order else F.lit(0)
-        item = F.struct(*(scope.column(i).alias(output_name(i)) for i in c.items))
-        lines = found.select(*(f.alias(f"__c{i}") for i, f in enumerate(foreign)), rank.alias("__rank"), item.alias("__item"))
+        lines = found.select(*(f.alias(f"__c{i}") for i, f in enumerate(foreign)), rank.alias("__rank"), *(scope.column(i).alias(output_name(i)) for i in c.items))
+        lines = _attached(engine, q, lines, c.children)
+        item = F.struct(*(F.col(f"`{n}`") for n in [*map(output_name, c.items), *(x.name for x in c.children)]))
+        lines = lines.select(*(f"__c{i}" for i in range(len(foreign))), "__rank", item.alias("__item"))
         arrays = lines.groupBy(*(f"__c{i}" for i in range(len(foreign)))).agg(F.sort_array(F.collect_list(F.struct("__rank", "__item"))).alias("__all"))
         value = F.transform("__all", lambda x: x["__item"])
         most = 1 if c.single else c.most

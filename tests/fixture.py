@@ -28,6 +28,7 @@ SCHEMA = Schema(
     Entity("holders", ("id",), (Relation("card", "cards", (("id", "holder_id"),)),)),
     Entity("cards", ("id",)),
     Entity("folders", ("id",)),
+    Entity("nodes", ("tenant", "id")),
     Entity("notes", ("id",), (Relation("customer", "customers", (("lower(email)", "lower(email)"),)),)),
     Entity("vehicles", ("id",), discriminator="kind", subtypes=(Subtype("Car", "car", "cars"), Subtype("Truck", "truck"), Subtype("Tanker", "tanker", parent="Truck"))),
 )
@@ -65,6 +66,7 @@ def engine(spark, **more) -> Engine:
         "holders": f([(i, f"H{i}") for i in range(4)], "id long, name string"),
         "cards": f([(10, 1), (11, 2), (12, None), (13, 99)], "id long, holder_id long"),
         "folders": f([(1, None, "root"), (2, 1, "a"), (3, 1, "b"), (4, 2, "c"), (100, 101, "x"), (101, 100, "y"), (200, None, "d"), (201, 200, "e"), (202, 200, "f"), (203, 201, "g"), (203, 202, "g")], "id long, parent long, name string"),
+        "nodes": f([(1, 1, None), (1, 2, 1), (1, 3, 2), (2, 1, None), (2, 2, 1), (2, 9, 7)], "tenant int, id int, parent int"),
         "notes": f([(1, "C1@x.ORG", "hello"), (2, "nobody@x.org", "bye")], "id long, email string, body string"),
         "vehicles": f([(1, "car", 4), (2, "truck", 6), (3, "tanker", 8), (4, None, 2)], "id long, kind string, wheels int"),
         "cars": f([(1, "red")], "id long, colour string"),

@@ -133,5 +133,12 @@ def test_recursion(spark):
         _walk(1, 0)
 
 
+def test_recursion_by_composite_keys(spark):
+    e, n = engine(spark), SCHEMA.root("nodes")
+    nodes = select_from(n, n["tenant"].named("tenant"), n["id"].named("id"), n["tenant"].named("up_tenant"), n["parent"].named("up"))
+    t = Source("nodes", nodes.where(lambda f: f.eq(n["id"], 1)), key=("tenant", "id")).recursive("tenant,id", "up_tenant,up", 4, depth="level", tree=True).table()
+    assert sorted(map(tuple, e.list(select_from(t, *t.cols("tenant", "id", "level"))))) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 0), (2, 2, 1)]
+
+
 def test_items_fixture_is_as_described():
     assert len(items_rows()) == 96

@@ -120,6 +120,32 @@ def test_children_and_enrichers(spark):
         e.list(Q.enrich(Enricher.of("x", lambda rows: [1])))
 
 
+def test_children_of_children(spark):
+    e = engine(spark)
+    lines = child("items", O, "items", lambda t: [t["code"]], "id", lambda t: [t["code"].asc()])
+    of = child("orders", C, "orders", lambda t: [t["id"], t["status"]], "id", lambda t: [t["id"].desc()]).child(lines)
+    rows = {r["id"]: r["orders"] for r in e.list(select_from(C, C["id"]).child(of))}
+    assert [o["id"] for o in rows[1]] == [31, 21, 11, 1] and rows[11] == [] and [o["items"] for o in rows[5]] == [[]] * 4
+    assert [i["code"] for i in rows[1][0]["items"]] == ["P0", "P1", "P2"]
+
+    @model(SCHEMA, "items")
+    class Item:
+        code = column("code")
+
+    @model(SCHEMA, "orders")
+    class Order:
+        id = column("id")
+        items = children("items", Item, "id", lambda t: [t["code"].asc()])
+
+    @model(SCHEMA, "customers")
+    class Customer:
+        id = column("id")
+        orders = children("orders", Order, "id", lambda t: [t["id"].asc()])
+
+    found = {c.id: c for c in e.list(Customer.query())}
+    assert [[i.code for i in o.items] for o in found[2].orders] == [["P0", "P1", "P2"]] * 4
+
+
 def test_customizer_and_params(spark):
     e = engine(spark)
     assert len(e.list(Q.customized(lambda df: df.where("id < 5")))) == 5
