@@ -25,7 +25,8 @@ TRAINING_ROWS = 20_000
 #: Dot product from which on queries matter, for the weight eta.
 THRESHOLD = 0.2
 CODES = 16
-#: Entries and queries of a block; entries of a block's scan that are scored exactly.
+#: Entries and queries of a block; entries of a block's scan that are scored exactly at first. The scan's error on these
+#: then tells which others may belong among the nearest; all of them are scored too.
 BLOCK, QUERIES, RERANKED = 8192, 2048, 160
 
 
@@ -198,8 +199,18 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, cells: int = 1, prob
                 top = min(RERANKED, len(v))
                 best = np.argpartition(-scan, top - 1, axis=1)[:, :top] if top < len(v) else np.tile(np.arange(len(v)), (len(scan), 1))
                 for r in range(len(scan)):
+
+                    def exact(c: np.ndarray, u: np.ndarray = q[at + r], size: float = nq[at + r]) -> np.ndarray:
+                        return (v[c] * u).sum(1) / (nv[c] * size)
+
                     c = best[r]
-                    score = (v[c] * q[at + r]).sum(1) / (nv[c] * nq[at + r])
+                    score = exact(c)
+                    if len(c) < len(v):  # entries that the scan puts so near the cut that its error may decide
+                        wrong = np.abs(score - scan[r][c])
+                        more = scan[r] >= np.sort(score)[-(k + 1)] - wrong.max() - wrong.std()
+                        more[c] = False
+                        more = np.flatnonzero(more)
+                        c, score = np.concatenate([c, more]), np.concatenate([score, exact(more)])
                     for i in np.lexsort((first[c], -score))[: k + 1]:
                         out[0].append(quids[at + r])
                         out[1].append(ids[c[i]])
