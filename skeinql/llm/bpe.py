@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from skeinql.llm.shared import slices
 
 LONG = 256
 #: Distinct pieces whose ids a task keeps; beyond that it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 NONE = np.int32(2**31 - 1)
 _BUCKETS = (2, 4, 8, 16, 32, 64, 128, LONG)
 
@@ -226,9 +227,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = _codec(vocab)
-        for b in batches:
+        for b in slices(batches):
             for part, texts in _parts(b):
                 yield pa.RecordBatch.from_arrays([part, pa.array(codec.encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        codec.ids = {}
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
@@ -246,7 +248,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = _codec(vocab)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(i or []) for i in b.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, bytes binary")
@@ -263,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = _codec(vocab)
         names = [str(i) for i in range(len(codec.tokens))]
         sha = hashlib.sha256
-        for b in batches:
+        for b in slices(batches, 2048):
             for part, texts in _parts(b):
                 n, a, d = [], [], []
                 for ids in codec.encode(texts):
@@ -271,5 +273,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     a.append(sha(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     d.append(sha(codec.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.ids = {}  # workers outlive tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

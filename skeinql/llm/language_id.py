@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import bounded_sample, remainder
+from skeinql.llm.shared import bounded_sample, remainder, slices
 
 BITS = 13
 DIMENSIONS = 1 << BITS
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
     sample = bounded_sample(rows, "lang", bound).select("text", "lang")
 
     def sparse(batches):
-        for b in batches:
+        for b in slices(batches):
             at, n = [], []
             for g in _grouped(b.column(0).to_pylist()):
                 for c in g:
@@ -177,7 +177,7 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [r for g in _grouped([x or "" for x in b.column(2).to_pylist()]) for r in m.predict(g)]
             lang, score, out = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
@@ -192,7 +192,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             keep = [not r[2] for g in _grouped(texts) for r in shared.value.predict(g)]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import labelled, remainder
+from skeinql.llm.shared import labelled, remainder, slices
 
 VOCABULARY, WIDTH, NONZERO, REACH = 1 << 15, 48, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 5e-3, 1e-4
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
     def tokens(batches):
         places = _Places()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_ids(x or "", places).astype(np.uint16).tobytes() for x in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["ids", "label"])
 
     share = labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
@@ -175,11 +175,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def run(batches):
         places = _Places()
-        for b in batches:
-            texts, scores = b.column(2).to_pylist(), []
-            for at in range(0, len(texts), 256):
-                scores.append(shared.value.score([_ids(x or "", places) for x in texts[at : at + 256]]))
-            s = np.concatenate(scores) if scores else np.zeros(0)
+        for b in slices(batches):
+            s = shared.value.score([_ids(x or "", places) for x in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = (remainder("doc_id", 5) == 0).alias("held_out")

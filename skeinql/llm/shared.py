@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a side of a join is broadcast, after they were counted: one long key a row is 16 MB at most.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a side of a join is broadcast, after they were counted: a few MB of keys.
+BROADCAST_ROWS = 100_000
+
+#: Rows that Python makes objects of at a time.
+SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,19 +31,53 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that this process wrote, and the session they are of.
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, so that later jobs read rows and not the lineage."""
+    """``df`` as a Parquet table in the shared folder, so that later jobs read rows and not the lineage.
+
+    It stays until ``forget`` or the end of the process, as results that are read later may depend on it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _tables:
+        atexit.register(forget)
+    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget() -> None:
+    """Deletes all tables that ``written`` made; results that were not yet read are lost."""
+    while _tables:
+        spark, path = _tables.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is hashed by partition: for keys that grow with the corpus, at any size."""
+    return df.hint("shuffle_hash")
+
+
 def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most BROADCAST_ROWS rows, else as it is (a shuffle join)."""
+    """``df`` with a broadcast hint if a count shows at most BROADCAST_ROWS rows, else as it is (a shuffle join).
+
+    For tables that are small by nature, as one row a source, and may not be.
+    """
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a few rows, so that what a task makes of them at once is small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinql.llm.quality_model import _sigmoid
-from skeinql.llm.shared import labelled, remainder, written
+from skeinql.llm.shared import labelled, remainder, slices, written
 
 FEATURES, PREFIX, TOP = 1 << 18, 5, 3
 #: Labelled documents that the model is fitted to, half of each label; tasks that they are dealt to.
@@ -195,7 +195,7 @@ def _arrays(df: DataFrame, make) -> list[list[np.ndarray]]:
     """One list of arrays from each task of ``df`` (text, label): ``make`` gets its (text, label) pairs. PARTS tasks at most."""
 
     def run(batches):
-        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = (r for b in slices(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         got = [np.ascontiguousarray(a) for a in make(rows)]
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in got] + [pa.array([a.dtype.str]) for a in got], [*(f"a{i}" for i in range(len(got))), *(f"t{i}" for i in range(len(got)))])
 
@@ -267,7 +267,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     def run(batches):
         model = shared.value
         cached = model.cached()
-        for b in batches:
+        for b in slices(batches):
             s = model.score([x or "" for x in b.column(2).to_pylist()], cached)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
