@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinql.llm.graph import components
-from skeinql.llm.shared import small_or_shuffled, written
+from skeinql.llm.shared import shuffled, slices, written
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 56, 3
-#: Rows of a tile beyond which its documents are dealt to several tiles.
-TILE = 1024
+#: Rows of a tile, and shingles of its rows together, beyond which its documents are dealt to several tiles.
+TILE, TILE_SHINGLES = 1024, 2_000_000
 CACHE = 300_000
 _M = np.uint64
 
@@ -100,36 +100,40 @@ def band_of(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("int")
 
 
-def passing(n: np.ndarray, bits: np.ndarray, near: np.ndarray):
-    """Blocks (first row, boolean matrix): may row and column reach the threshold? Upper bound on the overlap.
+def passing(n: np.ndarray, bits: np.ndarray, size: np.ndarray, own: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """May a row and a column (places in the tile) reach the threshold? By an upper bound on their overlap.
 
-    near: rows of the tile's own band; two rows of the next band meet in that band's own tile.
+    size: bits set. own: places in the tile's own size band; two of the next band meet in that band's own tile.
     """
-    size = np.bitwise_count(bits).sum(1, dtype=np.int64)
-    step = max(1, 2_000_000 // max(1, bits.size))
-    for at in range(0, len(n), step):
-        rows = slice(at, at + step)
-        both = np.bitwise_count(bits[rows, None, :] & bits[None, :, :]).sum(2, dtype=np.int64)
-        most = np.minimum(n[rows, None] - (size[rows, None] - both), n[None, :] - (size[None, :] - both))
-        ok = (100 + PERCENT) * most >= PERCENT * (n[rows, None] + n[None, :])
-        yield at, ok & (near[rows, None] | near[None, :])
+    both = np.bitwise_count(bits[rows, None, :] & bits[None, columns, :]).sum(2, dtype=np.int64)
+    x, y = n[rows, None], n[None, columns]
+    most = np.minimum(x - (size[rows, None] - both), y - (size[None, columns] - both))
+    return ((100 + PERCENT) * most >= PERCENT * (x + y)) & (own[rows, None] | own[None, columns])
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def forest(n: np.ndarray, bits: np.ndarray, own: np.ndarray, confirm=None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a tile's pairs that pass, and that ``confirm(i, j)`` confirms.
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    A search from place to place: each place meets only those that no tree has yet, so copies of one text cost few
+    comparisons, and pairs within a tree none.
+    """
+    found, left, size = [], np.arange(len(n)), np.bitwise_count(bits).sum(1, dtype=np.int64)
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, min(64, 1_000_000 // (len(left) * bits.shape[1])))
+            rows, front = front[:step], front[step:]
+            ok = passing(n, bits, size, own, rows, left)
+            if confirm is not None:
+                for c in np.flatnonzero(ok.any(0)):
+                    true = next((r for r in np.flatnonzero(ok[:, c]) if confirm(rows[r], left[c])), None)
+                    ok[:, c] = False
+                    if true is not None:
+                        ok[true, c] = True
+            hit = ok.any(0)
+            found += zip(rows[ok[:, hit].argmax(0)].tolist(), left[hit].tolist(), strict=True)
+            front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return found
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -152,14 +156,7 @@ def _bound_tile(t: pa.Table) -> pa.Table:
         return _edges(ids, [])
     maps = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
     words = min(map(len, maps))
-    bits = np.stack([folded(maps[i], words) for i in order])
-    forest, found = _Forest(len(ids)), []
-    for at, ok in passing(n, bits, own):
-        for i in range(len(ok)):
-            for j in np.flatnonzero(ok[i, : at + i]):
-                if forest.join(int(j), at + i):
-                    found.append((int(j), at + i))
-    return _edges(ids, found)
+    return _edges(ids, forest(n, np.stack([folded(maps[i], words) for i in order]), own))
 
 
 def _exact_tile(t: pa.Table) -> pa.Table:
@@ -170,33 +167,28 @@ def _exact_tile(t: pa.Table) -> pa.Table:
     sets = t["hashes"].to_pylist()
     sets = [np.frombuffer(sets[i], np.uint64) for i in order]
     bits = np.stack([bitmap(s, bits_for(int(n[0]))) for s in sets])
-    forest, found = _Forest(len(ids)), []
-    for at, ok in passing(n, bits, own):
-        for i in range(len(ok)):
-            y = sets[at + i]
-            for j in np.flatnonzero(ok[i, : at + i]):
-                if forest.root(int(j)) == forest.root(at + i):
-                    continue
-                x = sets[j]
-                at_y = np.searchsorted(y, x)
-                at_y[at_y == len(y)] = 0
-                common = int((y[at_y] == x).sum())
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    forest.join(int(j), at + i)
-                    found.append((int(j), at + i))
-    return _edges(ids, found)
+
+    def linked(i: int, j: int) -> bool:
+        x, y = sets[i], sets[j]
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        common = int((y[at] == x).sum())
+        return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+    return _edges(ids, forest(n, bits, own, linked))
 
 
 def _tiles(rows: DataFrame, key: str) -> DataFrame:
     """Rows (key, doc_id, n) dealt to size-banded tiles: adds tile (long) and own (the tile's own size band).
 
-    A tile whose rows exceed TILE is dealt again: each document gets a salt and goes to the tiles of its salt
+    A tile that exceeds TILE rows, or TILE_SHINGLES, is dealt again: each document gets a salt and goes to the tiles of its salt
     with every other one, so that every pair still meets, at least once.
     """
     rows = rows.withColumn("band", band_of(F.col("n")))
     rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("low", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1))
-    sizes = rows.groupBy(key, "low").agg(F.count("*").alias("g"), F.count(F.when(F.col("own"), 1)).alias("mine")).where("g > 1 and mine > 0").select(key, "low", F.ceil(F.col("g") / TILE).cast("int").alias("salts"))
-    rows = rows.join(small_or_shuffled(written(sizes, "tiles")), [key, "low"])
+    sizes = rows.groupBy(key, "low").agg(F.count("*").alias("g"), F.count(F.when(F.col("own"), 1)).alias("mine"), F.sum("n").alias("work"))
+    sizes = sizes.where("g > 1 and mine > 0").select(key, "low", F.ceil(F.greatest(F.col("g") / TILE, F.col("work") / TILE_SHINGLES)).cast("int").alias("salts"))
+    rows = rows.join(shuffled(sizes), [key, "low"])
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("salts")).cast("int")
     rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     return rows.withColumn("tile", F.xxhash64(key, "low", F.least("salt", "other"), F.greatest("salt", "other"))).drop("band", "low", "salts", "salt", "other")
@@ -204,7 +196,7 @@ def _tiles(rows: DataFrame, key: str) -> DataFrame:
 
 def _sets(batches, width: int):
     cache = _WordHash()
-    for b in batches:
+    for b in slices(batches):
         ids, n, digest, keys = b.column(0), [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, cache, width)
@@ -215,7 +207,7 @@ def _sets(batches, width: int):
 
 
 def _keyed(batches):
-    for b in batches:
+    for b in slices(batches):
         keys = b.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))], ["key", "doc_id", "n"]
@@ -224,7 +216,7 @@ def _keyed(batches):
 
 def _arrays(batches, width: int):
     cache = _WordHash()
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(x, cache, width) for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, bits_for(len(s))).tobytes() for s in sets], pa.binary())],
@@ -246,9 +238,9 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     keyed = reps.select("doc_id", "n", "keys").mapInArrow(_keyed, "key long, doc_id long, n long")
     shared = written(keyed.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    keyed = written(keyed.join(small_or_shuffled(shared), "key"), "band-rows")
+    keyed = written(keyed.join(shuffled(shared), "key"), "band-rows")
     active = written(keyed.select("doc_id").distinct(), "active")
-    near = texts.join(small_or_shuffled(active), "doc_id", "left_semi").mapInArrow(lambda b: _arrays(b, width), "doc_id long, n long, hashes binary, bits binary")
+    near = texts.join(shuffled(active), "doc_id", "left_semi").mapInArrow(lambda b: _arrays(b, width), "doc_id long, n long, hashes binary, bits binary")
     near = written(near, "arrays")
 
     tiles = _tiles(keyed, "key").join(near.select("doc_id", "bits"), "doc_id")
@@ -273,7 +265,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the document whose id is least, once; rows without an id stay."""
     classes = jaccard_classes(docs)
     kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).groupBy("__kept").agg(F.count("*").alias("copies")), "kept")
-    out = docs.join(small_or_shuffled(kept.select("__kept")), docs["doc_id"] == F.col("__kept"), "left_semi")
+    out = docs.join(shuffled(kept.select("__kept")), docs["doc_id"] == F.col("__kept"), "left_semi")
     out = out.dropDuplicates(["doc_id"]) if kept.where("copies > 1").limit(1).count() else out
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
 

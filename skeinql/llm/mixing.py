@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import WORD, small_or_shuffled, written
+from skeinql.llm.shared import WORD, shuffled, small_or_shuffled, written
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 #: 2**32 over the golden ratio, odd: the points of 2**32 slots are distinct.
@@ -111,8 +111,7 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     """
     share = F.least(F.lit(repeats), F.ceil(F.sum("taken") / F.sum("size"))).cast("int")
     times = mixed(docs, weights, repeats).where("doc_id is not null and size > 0").groupBy("doc_id").agg(share.alias("__times")).withColumnRenamed("doc_id", "__id")
-    times = small_or_shuffled(written(times, "times"))
-    out = docs.join(times, docs["doc_id"] == F.col("__id"), "left").withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))))
+    out = docs.join(shuffled(times), docs["doc_id"] == F.col("__id"), "left").withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))))
     return out.select(*docs.columns)
 
 

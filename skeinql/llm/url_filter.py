@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import small_or_shuffled, written
+from skeinql.llm.shared import shuffled, small_or_shuffled
 
 PREFIX = 8
 #: Rules (verdict, host, path) of the query.
@@ -49,8 +49,8 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Data
     spread = _hashed(spread.select("host", "path", F.concat("suffix", "prefix").alias("expression")), "expression")
     met = spread.join(small_or_shuffled(rules), "short").where("digest = rule_digest")
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule"), "rule_size", "rule", "rule_verdict")).alias("best"))
-    best = written(best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", F.col("best.rule_verdict").alias("v")), "verdicts")
-    out = parts.join(small_or_shuffled(best), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", F.col("best.rule_verdict").alias("v"))
+    out = parts.join(shuffled(best), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
 
 

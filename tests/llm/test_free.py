@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from skeinql.llm import ann, bpe, graph, jaccard, language_id, quality_model, toxicity
+from skeinql.llm import ann, bpe, graph, jaccard, language_id, quality_model, shared, toxicity
 from tests.llm import brute
 from tests.llm.test_native import DOCS, ODD, frame, words
 
@@ -63,9 +63,10 @@ def near_copies(seed, n=40, size=120):
     return out
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
-def test_jaccard_as_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,broadcast", [(1024, 100_000), (8, 0)])
+def test_jaccard_as_brute_force(spark, monkeypatch, tile, broadcast):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     texts = ODD + near_copies(1) + near_copies(2, 30, 400) + [words(7, 90)] * 30 + ["A b C", "a B c", "a b c d"] + [words(50 + i, 30) + " " + words(9, 60) for i in range(30)]
     texts += [words(8, 2000, 9000), words(8, 2000, 9000) + " more words at the end", "q " * 30, "q " * 50]
     docs = frame(spark, texts)
@@ -100,8 +101,7 @@ def test_bitmap_bound_is_never_below_the_truth():
         assert (jaccard.folded(jaccard.bitmap(a, 2048), 4) == jaccard.bitmap(a, 256)).all()
         both = len(np.intersect1d(a, b))
         if 175 * both >= 75 * n.sum():
-            ((_, ok),) = jaccard.passing(n, bits, np.array([True, True]))
-            assert ok[0, 1]
+            assert jaccard.passing(n, bits, np.bitwise_count(bits).sum(1, dtype=np.int64), np.array([True, False]), np.array([0]), np.array([1])).all()
 
 
 def test_ann_as_brute_force(spark):
@@ -208,3 +208,11 @@ def test_classifiers_without_labels(spark):
             assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     empty = spark.createDataFrame([], DOCS)
     assert toxicity.scored(empty, toxicity.fit(empty, none)).count() == quality_model.scored(empty, quality_model.fit(empty, none)).count() == 0
+
+
+def test_written_tables_are_forgotten(spark):
+    df = shared.written(spark.range(3), "three")
+    assert df.count() == 3
+    shared.forget()
+    with pytest.raises(Exception):
+        spark.range(1).join(df, "id").collect()
