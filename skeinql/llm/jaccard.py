@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinql.llm.graph import components
-from skeinql.llm.shared import shuffled, slices, written
+from skeinql.llm.shared import discard, shuffled, slices, written
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 56, 3
@@ -255,6 +255,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     several = twins.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v")
     several = several.select("doc_id", "v").join(twins, "doc_id").select(F.col("rep").alias("u"), "v")
     linked = written(components(exact.unionByName(several)), "linked")
+    discard(shared, keyed, active, near, families)
 
     of_rep = reps.select("digest", F.col("doc_id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "digest").join(of_rep, "digest", "left")

@@ -46,16 +46,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     if not _tables:
         atexit.register(forget)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing yet to be read depends on."""
+    for f in frames:
+        if (f.sparkSession, f.written_at) in _tables:
+            _tables.remove((f.sparkSession, f.written_at))
+        _delete(f.sparkSession, f.written_at)
 
 
 def forget() -> None:
     """Deletes all tables that ``written`` made; results that were not yet read are lost."""
     while _tables:
-        spark, path = _tables.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(*_tables.pop())
 
 
 def shuffled(df: DataFrame) -> DataFrame:
