@@ -73,11 +73,12 @@ def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
     return _before(owned, "sid", "part", ["slot"], F.lit(1)).select("slot", "sid", F.col("at").alias("rank"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int | None = None, settle: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, text and source are read).
 
     taken: the words of the document in the blocks that the schedule takes, repeats counted, ``repeats`` times its size
     at most. Rows that repeat are shuffled as rows of their own; texts without words get 0; an empty table gives none.
+    With ``settle``, a source that no slot falls to gets further slots, the last one cut at its target.
     """
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = written(base, "sizes")
@@ -86,7 +87,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     slots = written(schedule(targets, total, block), "schedule")
     known = targets.join(slots.groupBy("sid").agg(F.count("*").alias("blocks")), "sid", "left").withColumn("known", F.col("source"))
-    known = small_or_shuffled(written(known.drop("source"), "known"))
+    rest = F.floor("target").cast("long")
+    known = known.withColumn("further", F.col("blocks").isNull() & (rest > 0) & F.lit(settle))
+    known = known.withColumn("limit", F.when(F.col("further"), rest).otherwise(F.col("blocks") * block)).withColumn("blocks", F.when(F.col("further"), F.ceil(rest / block)).otherwise(F.col("blocks")))
+    known = written(known.drop("source"), "known")
+    if settle:
+        more = known.where("further").select("sid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("rank"))
+        slots = slots.select("sid", "rank").unionByName(more)
+    known = small_or_shuffled(known.drop("further"))
     placed = base.join(known, base["source"].eqNullSafe(known["known"])).drop("known")
 
     depth = max(1, min(6, round(math.log(max(rows, 1), 16) / 2)))  # chunks about as many as the rows of one
@@ -96,7 +104,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     line = placed.where("size > 0 and blocks > 0").withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("at") + e * F.col("source_size"))))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     line = line.where(first < F.col("blocks")).withColumn("rank", F.explode(F.sequence(first, F.least(last, F.col("blocks") - 1))))
-    part = F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)
+    part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block, "limit") - F.greatest("start", F.col("rank") * block))
     taken = line.join(slots.select("sid", "rank"), ["sid", "rank"]).groupBy("sid", "at").agg(F.sum(part).alias("taken"))
     used = placed.where("size > 0").join(taken, ["sid", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return used.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
@@ -106,11 +114,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix begins to read them, all columns as they are; rows it never reaches go.
 
-    Rows of one doc_id share what is taken of all of them. Rows without an id, or without a word, have nothing to mix
-    and stay as they are, once.
+    The blocks have LEAST_BLOCK words at any size, so that slots grow with the corpus and each source comes near its
+    target. Rows of one doc_id share what is taken of all of them. Rows without an id, or without a word, have nothing
+    to mix and stay as they are, once.
     """
     share = F.least(F.lit(repeats), F.ceil(F.sum("taken") / F.sum("size"))).cast("int")
-    times = mixed(docs, weights, repeats).where("doc_id is not null and size > 0").groupBy("doc_id").agg(share.alias("__times")).withColumnRenamed("doc_id", "__id")
+    times = mixed(docs, weights, repeats, LEAST_BLOCK, settle=True).where("doc_id is not null and size > 0").groupBy("doc_id").agg(share.alias("__times")).withColumnRenamed("doc_id", "__id")
     out = docs.join(shuffled(times), docs["doc_id"] == F.col("__id"), "left").withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))))
     return out.select(*docs.columns)
 

@@ -90,6 +90,16 @@ def test_mixing_as_brute_force(spark):
     assert many.columns == docs.columns and many.where("doc_id is null").count() == 1
 
 
+def test_small_sources_keep_their_place_in_a_large_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # as on a corpus so large that a 64th of it is many small sources
+    rows = [(f"big{k}", 2000) for k in range(3) for _ in range(20)] + [(f"small{k:02d}", 60) for k in range(12)] + [(f"tiny{k:02d}", 3) for k in range(12)]
+    docs = spark.createDataFrame([(i, words(i, n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    kept = {r.source: r.n for r in mixing.repeated(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert set(kept) == {s for s, _ in rows}
+    taken = mixing.mixed(docs, block=mixing.LEAST_BLOCK, settle=True).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 4 * mixing.LEAST_BLOCK for r in taken)
+
+
 def test_url_filter_as_brute_force(spark):
     urls = [None, "", "no host", "http://com", "http://com/", "HTTP://A.COM/x", "http://Example.com/en/1?q#f", "https://www.example.com/en/", "http://a.www.example.com/en/x", "http://notexample.com/en/", "http://x.net/es/1", "http://net/fr/", "http://x.net/esx/",
             "http://x.net?/es/", "http://x.net#/es/", "a://b://c.com/", "http:///path", "http://ex.com/en/../" + "p" * 5000, "http://é.com/ü", "http://İ.com/en/", "http://example.com/en"]
