@@ -13,6 +13,7 @@ import heapq
 import math
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,14 @@ _SEPARATORS = set(" .-_*~'·,")
 
 
 def _triples(words, counts: np.ndarray) -> None:
-    for w in words:
+    """Adds the trigrams of (word, times) pairs."""
+    for w, n in words:
         a = b = 0
         for c in w:
             s = _AT.get(c, 1)
-            counts[a, b, s] += 1
+            counts[a, b, s] += n
             a, b = b, s
-        counts[a, b, 0] += 1
+        counts[a, b, 0] += n
 
 
 class CharacterModel:
@@ -204,20 +206,41 @@ def _arrays(df: DataFrame, make) -> list[list[np.ndarray]]:
     return [[np.frombuffer(bytes(r[i]), r[k + i]) for i in range(k)] for r in rows]
 
 
+def letter_counts(docs: DataFrame) -> np.ndarray:
+    """Trigram counts of the plain words of all rows of ``docs`` (text is read), each word once a text.
+
+    A task keeps one table and the tokens that it has not yet counted; tables are summed before they reach the driver.
+    """
+
+    def run(batches):
+        counts, seen = np.zeros((SYMBOLS,) * 3, np.int64), Counter()
+
+        def settle() -> None:
+            _triples(((w, n) for t, n in seen.items() if (w := t.strip(_STRIP)).isalpha() and not _stretched(w)), counts)
+            seen.clear()
+
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                seen.update(tokens(text or ""))
+                if len(seen) >= CACHE:
+                    settle()
+        settle()
+        (at,) = np.nonzero(counts.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], ["cell", "n"])
+
+    out = np.zeros(SYMBOLS**3, np.int64)
+    for cell, n in docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out.reshape((SYMBOLS,) * 3)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAINING_ROWS) -> Model:
-    """The model, from about ``bound`` labelled rows outside the held-out fold, in three passes over that sample."""
+    """The model: letters from all of ``docs`` in one pass, words from about ``bound`` labelled rows outside the held-out fold in two."""
     share = labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     sample = labelled(docs, labels, label, bound).select(F.coalesce("text", F.lit("")).alias("text"), "label")
     sample = written(sample.repartition(PARTS, F.xxhash64("text")), "toxicity-sample").coalesce(PARTS)
 
-    def triples(rows):
-        counts = np.zeros((SYMBOLS, SYMBOLS, SYMBOLS), np.int64)
-        for text, _ in rows:
-            _triples((w for t in tokens(text) if (w := t.strip(_STRIP)).isalpha() and not _stretched(w)), counts)
-        return [counts]
-
-    triples.arrays = 1
-    letters = CharacterModel(sum((a for (a,) in _arrays(sample, triples)), np.zeros(SYMBOLS**3, np.int64)).reshape((SYMBOLS,) * 3))
+    letters = CharacterModel(letter_counts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(letters)
 
     def half(text: str) -> int:

@@ -216,3 +216,17 @@ def test_written_tables_are_forgotten(spark):
     shared.forget()
     with pytest.raises(Exception):
         spark.range(1).join(df, "id").collect()
+
+
+def test_letters_are_counted_over_all_documents(spark):
+    texts = ["fine plain words here"] * 20 + ["ugly plain words here"] * 20 + ["zyqx' zyqx quartz b4d aaab, ünï", "zyqx œuvre", None, ""] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i >= 20)) for i in range(40)], "doc_id long, toxic int")
+    counts = np.zeros((toxicity.SYMBOLS,) * 3, np.int64)
+    for t in texts:
+        for w in [x.strip(toxicity._STRIP) for x in toxicity.tokens(t or "")]:
+            if w.isalpha() and not toxicity._stretched(w):
+                c = [0, 0, *(toxicity._AT.get(x, 1) for x in w), 0]
+                for i in range(len(c) - 2):
+                    counts[tuple(c[i : i + 3])] += 1
+    assert counts.sum() > 0 and (toxicity.fit(docs, labels).letters.cost == toxicity.CharacterModel(counts).cost).all()
