@@ -230,9 +230,9 @@ _set("set_chain_tags", _half("low", lambda f: f.lt(O["o_orderkey"], 100), part="
 # recursion: customers as a tree, each below the one with half its number
 _UP = Typed(function("floor", divided_by(Typed(C["c_custkey"], "double"), 2.0)), "bigint")
 _NODES = select_from(C, C["c_custkey"].named("id"), _UP.named("parent"), C["c_name"].named("name"))
-_LEVELS = Source("levels", _NODES.where(lambda f: f.eq(C["c_custkey"], 1)), key=("id",)).recursive("id", "parent", 14, depth="level", links=_NODES.where(lambda f: f.gt(C["c_custkey"], 1)))
+_LEVELS = Source("levels", _NODES.where(lambda f: f.eq(C["c_custkey"], 1)), key=("id",)).recursive("id", "parent", 40, depth="level", links=_NODES.where(lambda f: f.gt(C["c_custkey"], 1)))
 _set("recursive_levels", _LEVELS, "WITH RECURSIVE t AS (SELECT c_custkey AS id, c_custkey // 2 AS parent, c_name AS name, 0::BIGINT AS level FROM customer WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, c.c_custkey // 2, c.c_name, t.level + 1 FROM customer c JOIN t ON c.c_custkey // 2 = t.id WHERE c.c_custkey > 1) SELECT id, parent, name, level FROM t")
-_TREE = Source("tree", _NODES.where(lambda f: f.eq(C["c_custkey"], 3)), key=("id",)).recursive("id", "parent", 14, tree=True)
+_TREE = Source("tree", _NODES.where(lambda f: f.eq(C["c_custkey"], 3)), key=("id",)).recursive("id", "parent", 40, tree=True)
 _set("tree_check", _TREE, "WITH RECURSIVE t AS (SELECT c_custkey AS id, c_custkey // 2 AS parent, c_name AS name FROM customer WHERE c_custkey = 3 UNION ALL SELECT c.c_custkey, c.c_custkey // 2, c.c_name FROM customer c JOIN t ON c.c_custkey // 2 = t.id) SELECT id, parent, name FROM t")
 
 # pages and keys

@@ -1,7 +1,9 @@
 import decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from skeinql import queries
 from skeinql.errors import Code
 from skeinql.functions import correlated as sub
 from skeinql.functions.expr import Agg, window
@@ -142,3 +144,14 @@ def test_recursion_by_composite_keys(spark):
 
 def test_items_fixture_is_as_described():
     assert len(items_rows()) == 96
+
+
+def test_registered_walks_of_a_deep_tree(spark, tmp_path):
+    n = 98_400
+    spark.range(1, n + 1).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    levels = {r.level: r["count"] for r in queries.QUERIES["recursive_levels"](spark, str(tmp_path)).groupBy("level").count().collect()}
+    assert levels == {d: min(2 ** (d + 1), n + 1) - 2**d for d in range(n.bit_length())}
+    below, first, last = 0, 3, 3
+    while first <= n:
+        below, first, last = below + min(last, n) - first + 1, 2 * first, 2 * last + 1
+    assert queries.QUERIES["tree_check"](spark, str(tmp_path)).count() == below
