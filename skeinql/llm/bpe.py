@@ -2,15 +2,18 @@
 
 A text is cut by the pattern; its distinct pieces are bucketed by byte length into padded matrices of ids. In each
 round every row merges its leftmost pair of least rank, found by hashed pair lookup, and is compacted by one place;
-rows without a pair leave the matrix. Pieces of more than LONG bytes, for which one merge a round over the whole row
-would take quadratic time, take the same merges from a heap.
+rows without a pair leave the matrix. A piece of more than LONG bytes is a matrix of its own; there a round also merges
+all later pairs of the same rank, which would come next anyway, so that rounds follow the vocabulary and not the length.
+
+Every operator here takes a null text as empty, an empty text as one without ids, and texts of any length whole. Rows
+that repeat, or that have a null doc_id, are rows of their own; a table without rows gives one. Only doc_id and text (or
+ids) are read, so other columns may have any name. Two pairs of one rank: the left one is merged first.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +91,6 @@ class PairTable:
             out[where] = got
         return out
 
-    def rank(self, left: int, right: int) -> int:
-        return int(self.ranks(np.array([left]), np.array([right]))[0])
-
 
 class Codec:
     """Encodes texts to ids and ids to bytes with the ranks of ``tokens``; no special tokens."""
@@ -109,7 +109,7 @@ class Codec:
             if (r := self.whole.get(p)) is not None:
                 out[i] = (r,)
             elif len(p) > LONG:
-                out[i] = self._by_heap(p)
+                out[i] = self._row(p)
             else:
                 order.setdefault(next(b for b in _BUCKETS if len(p) <= b), []).append(i)
         for width, rows in order.items():
@@ -150,31 +150,32 @@ class Codec:
                     ranks[w, side[ok]] = self.table.ranks(ids[w, side[ok]], ids[w, side[ok] + 1])
                 ranks[every, np.minimum(length - 1, ranks.shape[1] - 1)] = np.where(length - 1 < ranks.shape[1], NONE, ranks[every, np.minimum(length - 1, ranks.shape[1] - 1)])
 
-    def _by_heap(self, piece: bytes) -> tuple[int, ...]:
+    def _row(self, piece: bytes) -> tuple[int, ...]:
+        """The rounds of ``_matrix`` on one long row; a round merges the leftmost pair of least rank and the equal pairs that come next.
+
+        Those are the equal pairs right of it, every second one where they overlap, as long as no merge makes a pair
+        that does not rank behind them.
+        """
         ids = self.single[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        ranks = self.table.ranks(ids[:-1], ids[1:]).tolist()
-        ids = ids.tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        ranks.append(int(NONE))
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or ranks[i] != r:
-                continue
-            j = after[i]
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left in (before[i], i):
-                if left >= 0:
-                    right = after[left]
-                    ranks[left] = self.table.rank(ids[left], ids[right]) if right < n else int(NONE)
-                    if ranks[left] != NONE:
-                        heapq.heappush(heap, (ranks[left], left))
-        return tuple(x for x, a in zip(ids, alive, strict=True) if a)
+        ranks = self.table.ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            place = np.arange(len(at))
+            start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, place, 0))
+            at = at[(place - start) % 2 == 0]
+            merged = np.full(len(at), best, np.int32)
+            left = np.where(np.diff(at, prepend=-3) == 2, best, ids[at - 1])  # as a merge finds it, those left of it done
+            early = (at > 0) & (self.table.ranks(left, merged) <= best)
+            early |= (at + 2 < len(ids)) & (self.table.ranks(merged, ids[np.minimum(at + 2, len(ids) - 1)]) <= best)
+            if early.any():
+                at = at[: early.argmax() + 1]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            new = at - np.arange(len(at))
+            for side in (new - 1, new):
+                w = side[(side >= 0) & (side < len(ranks))]
+                ranks[w] = self.table.ranks(ids[w], ids[w + 1])
+        return tuple(ids.tolist())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.find(t) for t in texts]
@@ -212,7 +213,8 @@ def _groups(texts: list[str]):
         if size > GROUP:
             yield texts[at : i + 1]
             at, size = i + 1, 0
-    yield texts[at:]
+    if at < len(texts):
+        yield texts[at:]
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str):
@@ -272,7 +274,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     n.append(len(ids))
                     a.append(sha(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     d.append(sha(codec.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(a), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         codec.ids = {}  # workers outlive tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
