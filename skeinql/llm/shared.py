@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,10 +22,17 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir or, if the session names none, one in the warehouse.
+
+    A session of one machine has a local warehouse; on a cluster the warehouse is shared, and refused if it is a
+    machine's own folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="skeinql-")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/skeinql-tables"
+        local = where.startswith(("file:", "/"))
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -84,6 +90,14 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a prefix that no column of ``df`` has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of a few rows, so that what a task makes of them at once is small."""
     for b in batches:
@@ -105,14 +119,13 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
     The values are counted first, over all rows; a value with fewer rows than its quota keeps them all.
     """
-    counts = [(r[0], r[1]) for r in rows.groupBy(key).count().collect()]
-    quota = bound / max(1, len(counts))
+    value, n = fresh(rows, "value", "n")
+    counts = written(rows.groupBy(F.col(key).alias(value)).agg(F.count("*").alias(n)), "sample-counts")
+    quota = bound / max(1, counts.count())
     big = 1 << 30
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(big))
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | (F.col(key).eqNullSafe(F.lit(value)) & (part < int(big * min(1.0, quota / n))))
-    return rows.where(keep)
+    sampled = rows.join(small_or_shuffled(counts), F.col(key).eqNullSafe(F.col(value)))
+    return sampled.where(part < F.floor(big * F.least(F.lit(1.0), quota / F.col(n)))).select(*rows.columns)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:

@@ -66,6 +66,7 @@ def redact(text, spans):
 def mixture(docs, slots, least, most, multiplier=2654435769):
     """[(doc_id, size, source_size, target, taken)]; docs: [(doc_id, text, source)]."""
     size = [(i, len(WORD.findall(t or "")), s) for i, t, s in docs]
+    key = {(i, n, s): str(i) if i is not None else "text " + hashlib.md5((t or "").encode()).hexdigest() for (i, n, s), (_, t, _) in zip(size, docs, strict=True)}
     sums = defaultdict(int)
     for _, n, s in size:
         sums[s] += n
@@ -96,7 +97,7 @@ def mixture(docs, slots, least, most, multiplier=2654435769):
     out = []
     for s in names:
         at = 0
-        for i, n, _ in sorted((x for x in size if x[2] == s), key=lambda x: (hashlib.md5(str("" if x[0] is None else x[0]).encode()).hexdigest(), x[0] or 0, x[1])):
+        for i, n, _ in sorted((x for x in size if x[2] == s), key=lambda x: (hashlib.md5(key[x].encode()).hexdigest(), x[0] or 0, x[1])):
             taken = sum(max(0, min(at + e * sums[s] + n, blocks[s] * block) - at - e * sums[s]) for e in range(3))
             out.append((i, n, sums[s], target[s], taken))
             at += n

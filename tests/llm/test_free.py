@@ -32,6 +32,20 @@ def test_bpe_round_trip(spark, reference):
     assert [bytes(x.bytes) for x in bpe.decode(encoded, PATH, PATTERN).collect()] == [(t or "").encode() for t in texts]
 
 
+def test_bpe_of_long_texts_and_groups(spark, reference):
+    r = random.Random(5)
+    texts = ["ab " * 700_000, "b" * 3_000_000, "".join(r.choice("abcdefghijklmnop") for _ in range(20_000)), "=" * 5001, "aab" * 999] + ["a" * 999 + " "] * 2001 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = bpe.round_trip(docs, PATH, PATTERN).collect()
+    assert [g.decoded_sha256 for g in got] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    for g, t in zip(got[2:8], texts[2:8], strict=True):
+        ids = reference.encode_ordinary(t)
+        assert (g.n_tokens, g.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    none = spark.createDataFrame([], DOCS)
+    assert bpe.round_trip(none, PATH, PATTERN).count() == bpe.encode(none, PATH, PATTERN).count() == 0
+    assert [len(x) for x in bpe._groups(["a" * 1000] * 2001)] == [2001] and list(bpe._groups([])) == []
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
@@ -108,7 +122,7 @@ def test_ann_as_brute_force(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(700, 16)).astype(np.float32)
     x[300:420] = x[50]  # copies of a query
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (950, [0.0] * 16, 1), (1000, [math.nan] + [1.0] * 15, 1), (1050, [math.inf] + [1.0] * 15, 1), (1100, [None] + [1.0] * 15, 1), (1150, [1.0, 2.0], 1), (None, [1.0] * 16, 1), (50, x[50].tolist(), 1)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (950, [0.0] * 16, 1), (1000, [math.nan] + [1.0] * 15, 1), (1050, [math.inf] + [1.0] * 15, 1), (1100, [None] + [1.0] * 15, 1), (1150, [1.0, 2.0], 1), (1151, [2.0, 1.0], 1), (None, [1.0] * 16, 1), (50, x[50].tolist(), 1)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
     found = {}
     for g in sorted(got, key=lambda g: (g.query_id, g["rank"])):
@@ -120,12 +134,37 @@ def test_ann_as_brute_force(spark):
         want = [int(i) for i in np.lexsort((np.arange(700), -np.round(s, 12))) if i != q][:5]
         hit += len(set(want) & {i for i, _ in found[q]})
         assert all(abs(s[i] - score) < 1e-12 for i, score in found[q]) and [g["rank"] for g in got if g.query_id == q].sort() is None
-    assert set(found) == set(range(0, 700, 50)) and hit >= 0.95 * 5 * 14
+    assert set(found) == {*range(0, 700, 50), 1150} and hit >= 0.95 * 5 * 14 and [i for i, _ in found[1150]] == [1151]
     assert [i for i, _ in found[50]] == [300, 301, 302, 303, 304]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ann.search(spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (7, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")).count() == 1
 
 
+def test_ann_scores_doubles_as_they_are(spark):
+    x = np.random.default_rng(8).normal(size=(60, 4))
+    x[1] = x[0] * (1 + 1e-12)
+    got = ann.search(spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, e double"), k=60).collect()
+    for g in got:
+        a, b = x[g.query_id], x[g.vec_id]
+        assert abs(g.score - (a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))) < 1e-15
+    assert len(got) == 2 * 59
+
+
+def test_ann_recall_on_the_tables(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(g.query_id, g.vec_id) for g in ann.search(vectors).collect()}
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        want |= {(int(ids[i]), int(ids[j])) for j in np.argsort(-s)[:5]}
+    assert len(got & want) >= 0.98 * len(want)
+
+
 @pytest.mark.parametrize("cells,probes,least", [(8, 8, 0.99), (8, 4, 0.6)])
 def test_ann_in_cells(spark, cells, probes, least):
     x = np.random.default_rng(5).normal(size=(1500, 8)).astype(np.float32)
@@ -187,7 +226,7 @@ def test_toxicity(spark):
         text = words(i, 60, 300) + (" " + r.choice(bad) if toxic else " ") + " " + words(i + 9000, 20, 300)
         rows.append((i, text))
         labels.append((i, 1, int(toxic)))
-    masked = ["sc0undrel", "r.o.t.t.e.r", "n i t w i t", "rooootter", "n1twit", "$coundrel"]
+    masked = ["sc0undrel", "r.o.t.t.e.r", "n i t w i t", "rooootter", "n1twit", "$coundrel", "n i t w i t  r o t t e r"]
     rows += [(2000 + k, words(k + 5, 50, 300) + f" {m} " + words(k + 6, 9, 300)) for k, m in enumerate(masked)] + [(2100, None), (2101, ""), (2102, words(4, 80, 300)), (2102, words(4, 80, 300)), (None, "x")]
     docs = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, score string")
     tags = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
@@ -198,6 +237,114 @@ def test_toxicity(spark):
     assert got[2100].predicted == got[2101].predicted == got[2102].predicted == 0
 
 
+def test_decoding_is_the_best_of_all_paths(spark):
+    """Against every way to read a token, cost by cost."""
+    r = random.Random(2)
+    counts = np.zeros((toxicity.SYMBOLS,) * 3, np.int64)
+    toxicity._triples([(w, 3) for w in ["rotter", "nitwit", "scoundrel", "hello", "great", "bottle", "little", "see"]], counts)
+    model = toxicity.CharacterModel(counts)
+
+    def every(token):
+        best = [(math.inf, "")]
+
+        def go(i, a, b, total, out):
+            if i == len(token):
+                total += float(model.cost[a, b, 0])
+                if total < best[0][0]:
+                    best[0] = (total, out)
+                return
+            c, before = token[i], token[i - 1] if i else ""
+            options = [(0.0, toxicity._AT[c], c)] if c in toxicity._AT else [(toxicity._COST_LOOK, toxicity._AT[x], x) for x in toxicity.LOOKALIKES.get(c, "")] + [(toxicity._COST_KEEP, 1, c)]
+            for extra, s, x in options:
+                go(i + 1, b, s, total + extra + float(model.cost[a, b, s]), out + x)
+            if c in toxicity._SEPARATORS:
+                go(i + 1, a, b, total + toxicity._COST_DROP, out)
+            elif c == before and (token[i - 2 : i] == c * 2 or token[i + 1 : i + 2] == c):
+                go(i + 1, a, b, total + toxicity._COST_REPEAT, out)
+            if c == " " and out:
+                go(i + 1, 0, 0, total + toxicity._COST_BORDER + float(model.cost[a, b, 0]), out + " ")
+
+        go(0, 0, 0, 0.0, "")
+        return best[0][1]
+
+    for t in ["r0tt3r", "n.1.t.w.1.t", "sc0unnndre1", "n i t w i t s e e", "hhhellooo", "!|1+0$", "b0tt1e", "....a", "gr3@t-0-5"] + ["".join(r.choice("rot.e1 !3$ni-w") for _ in range(9)) for _ in range(25)]:
+        assert model.decode(t) == every(t), t
+    assert toxicity.readings("n i t w i t r o t t e r", model)[-2:] == ("nitwit", "rotter")
+    assert model.decode("r.0." * 30_000)
+
+
+def test_language_id_as_plain_counts(spark):
+    """Vectors, centroids and cosines by loops over strings and floats."""
+    langs = {"aa": "bada gada kada lada ", "zz": "zuvo ruvo puvo muvo "}
+    r = random.Random(1)
+    docs = [(" ".join(r.choices(langs[k].split(), k=r.randint(5, 40))) + " X1", k) for k in ("aa", "zz") for _ in range(30)]
+    model = language_id.Model(np.stack([language_id.gram_counts(t) for t, _ in docs]), [k for _, k in docs])
+
+    def grams(text):
+        out = {}
+        low = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+        flat = "".join(c for i, c in enumerate(low) if c != "\0" or i == 0 or low[i - 1] != "\0")
+        for n in (1, 2, 3):
+            for i in range(len(flat) - n + 1):
+                g = flat[i : i + n]
+                if n == 1 and g == "\0" or n == 2 and g == "\0\0" or n == 3 and g[1] == "\0":
+                    continue
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    for t, _ in docs[:5]:
+        assert sorted(grams(t).values()) == sorted(int(x) for x in language_id.gram_counts(t) if x)
+    df = [sum(1 for t, _ in docs if language_id.gram_counts(t)[j]) for j in range(0, language_id.DIMENSIONS, 97)]
+    assert np.allclose(model.idf[::97], [math.log((1 + len(docs)) / (1 + n)) + 0.1 for n in df], atol=1e-6)
+    for t, k in docs:
+        c = language_id.gram_counts(t)
+        v = [math.log1p(n) * w for n, w in zip(c, model.idf, strict=True)]
+        size = math.sqrt(sum(x * x for x in v))
+        cosines = [sum(x * y for x, y in zip(v, m, strict=True)) / size for m in model.centroids]
+        lang, score, _ = model.predict(c[None])[0]
+        assert lang == k == model.langs[int(np.argmax(cosines))] and abs(score - max(cosines)) < 1e-4
+
+
+def test_quality_forward_pass_as_loops(spark):
+    r = random.Random(4)
+    places = quality_model._Places()
+    texts = [words(i, 40 + i % 30, 60) + (" BUY NOW 123 !!" if i % 2 else "") for i in range(120)]
+    ids = [quality_model._ids(t, places) for t in texts]
+    model = quality_model.Model(ids, np.array([1 - i % 2 for i in range(120)]), 0.5)
+    index = quality_model.index_vectors()
+    w = int(ids[0][3])  # one word's vector by plain counts
+    context = np.zeros(quality_model.WIDTH)
+    for t in ids:
+        for i, x in enumerate(t):
+            if x == w:
+                for j in range(max(0, i - quality_model.REACH), min(len(t), i + quality_model.REACH + 1)):
+                    if j != i:
+                        context += index[t[j]]
+    want = context / np.linalg.norm(context) + index[w] / math.sqrt(quality_model.NONZERO)
+    assert np.allclose(model.vectors[w], want / np.linalg.norm(want), atol=1e-4)
+    for t in r.sample(ids, 8):
+        vs = [model.vectors[i] for i in t]
+        mean = [sum(float(v[j]) for v in vs) / len(vs) for j in range(quality_model.WIDTH)]
+        spread = [math.sqrt(max(0.0, sum(float(v[j]) ** 2 for v in vs) / len(vs) - m * m)) for j, m in enumerate(mean)]
+        shape = [math.log1p(len(t)) / 10, math.sqrt(sum(m * m for m in mean)), sum(i == 0 for i in t) / len(t), sum(i == 1 for i in t) / len(t), sum(a == b for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1)]
+        x = [min(5.0, max(-5.0, (a - m) / s)) for a, m, s in zip([*mean, *spread, *shape], model.mean, model.spread, strict=True)]
+        w1, b1, w2, b2 = model.layers
+        h = [math.tanh(sum(a * float(w1[i, j]) for i, a in enumerate(x)) + float(b1[j])) for j in range(quality_model.HIDDEN)]
+        z = (sum(a * float(w2[j]) for j, a in enumerate(h)) + float(b2)) / model.temperature
+        assert abs(model.score([t])[0] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_long_texts_and_ties_of_the_classifiers(spark):
+    long = "nitwit rotter " * 60_000
+    rows = [(i, words(i, 40, 90) + (" nitwit" if i % 3 == 0 else "")) for i in range(300)] + [(900, long), (901, "r.o.t.t.e.r" * 20_000), (902, long), (None, long)]
+    docs = spark.createDataFrame([(*x, "s", "p") for x in rows], "doc_id long, text string, score string, predicted string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(300)] + [(3, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    for m in (quality_model, toxicity):
+        got = m.scored(docs, m.fit(docs, labels)).collect()
+        assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (900, 902, None)}) == 1
+    assert {r.doc_id: r.predicted for r in got}[900] == 1
+
+
 def test_classifiers_without_labels(spark):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
