@@ -20,7 +20,10 @@ _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """Rules as literals of the plan, so that no Python worker makes rows of them."""
+    rows = [F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(("verdict", "host", "path"), r, strict=True))) for r in rules]
+    some = F.array(*rows) if rows else F.array().cast("array<struct<verdict:string,host:string,path:string>>")
+    return spark.range(1).select(F.inline(some))
 
 
 def _hashed(df: DataFrame, expression: str) -> DataFrame:
@@ -30,8 +33,10 @@ def _hashed(df: DataFrame, expression: str) -> DataFrame:
 def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of ``pages`` (page_id and url are read).
 
-    A null url, or one without ``://``, has an empty host and path. Where no rule fits, rule is null and the verdict
-    is ``default``. ``rules`` are (verdict, host, path); of two with the same host and path, the one that blocks
+    A null or empty url, or one without ``://``, has an empty host and path. Where no rule fits, rule is null and the
+    verdict is ``default``. Urls of any length are read whole. Rows that repeat, or that have a null page_id, are rows of
+    their own; equal urls are expanded once, and joined back by a shuffle of which AQE splits the partitions that a very
+    common url makes large. A table without rows gives one; other columns of ``pages`` may have any name. ``rules`` are (verdict, host, path); of two with the same host and path, the one that blocks
     holds; rules with a null are left out. Equally long rules: the one with the longer host.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), "path", "verdict")
