@@ -1,19 +1,29 @@
 """Quality rules with DataFrame functions only: counts of each text, and verdicts on the hosts that they come from.
 
-Failures of the base rules are summed by host; each host's rate is shrunk towards a beta prior that is fitted to all
-hosts' rates by moments; hosts whose shrunk rate exceeds a limit are bad, and their documents are not kept.
+Failures of the base rules are summed by host; a beta prior is fitted to all hosts' rates by moments, and shrinks each
+host's rate. A host is bad, and none of its documents is kept, if its posterior rate lies above what the prior makes of
+hosts: if BELOW deviations under its posterior mean are still over ABOVE deviations over the prior's mean, which limit
+is kept within LEAST to MOST.
+
+A null text is an empty one: no words, and fails. Texts of any length are read whole. Documents that repeat, or that have
+a null doc_id, are rows of their own; those without a host are judged by the base rules alone. A table without rows gives
+one. Only doc_id, text and the host column are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinql.llm.shared import WORD, small_or_shuffled, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Shrunk failure rate beyond which a host is bad.
-BAD_HOST = 0.5
+#: Deviations of the posterior below its mean, and of the prior above its own, between which a bad host leaves a gap.
+BELOW, ABOVE = 2.0, 3.0
+#: A host whose posterior rate may be this low is not bad, however good the others are; one surely above that is, however bad they are.
+LEAST, MOST = 0.2, 0.5
 
 
 def _repeated(words: Column) -> Column:
@@ -61,28 +71,32 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, n, failed, rate): failures by host and the rate shrunk by the prior; one row a host, none for a null host.
+def host_verdicts(judged: DataFrame, below: float = BELOW, above: float = ABOVE, least: float = LEAST, most: float = MOST) -> DataFrame:
+    """(host, n, failed, rate, limit, bad): failures by host, the posterior mean, and the verdict; one row a host, none for a null host.
 
-    Prior by moments: with the hosts' rates of mean m and variance v, strength m (1 - m) / v - 1, kept within 1 to
-    1000; a single host, or hosts all alike, give the strongest.
+    Prior by moments, hosts weighing as their documents: with the rates' mean m and variance v, of which s is what
+    sampling alone would give, strength m (1 - m) / (v - s) - 1, kept within 1 to 1000; a single host, or hosts no more
+    different than by chance, give the strongest.
     """
     hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).first()  # two numbers
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
+    prior = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("q"), F.count("*").alias("h")).first()  # four numbers
+    every = float(prior["n"] or 1)
+    m = (prior["f"] or 0) / every
+    v = (prior["q"] or 0.0) / every - m * m - m * (1 - m) * (prior["h"] / every)
     strength = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
+    limit = max(least, min(most, m + above * math.sqrt(m * (1 - m) / (strength + 1))))
+    mean = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    out = hosts.withColumn("rate", mean).withColumn("limit", F.lit(limit))
+    return out.withColumn("bad", F.col("rate") - below * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1))) > F.col("limit"))
 
 
-def judged(docs: DataFrame, host: str = "source", limit: float = BAD_HOST) -> DataFrame:
-    """Counts and verdicts for each row of ``docs`` (doc_id, text and the host column are read).
+def judged(docs: DataFrame, host: str = "source", below: float = BELOW, above: float = ABOVE, least: float = LEAST, most: float = MOST) -> DataFrame:
+    """Counts and verdicts for each row of ``docs``.
 
-    A null text has no words and fails. Documents without a host are judged by the base rules alone. Returns
-    (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad, kept).
+    Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad, kept).
     """
     base = written(measured(docs, host), "measured")
-    bad = written(host_rates(base).where(F.col("rate") > limit).select("host", F.lit(True).alias("bad")), "bad-hosts")
+    bad = written(host_verdicts(base, below, above, least, most).where("bad").select("host", "bad"), "bad-hosts")
     out = base.join(small_or_shuffled(bad), "host", "left").withColumn("host_bad", F.coalesce("bad", F.lit(False)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_bad", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"))
 
@@ -98,9 +112,10 @@ counted AS (SELECT b.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_st
     coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id),
 failed AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM counted),
 hosts AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f FROM failed WHERE host IS NOT NULL GROUP BY host),
-moments AS (SELECT avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v FROM hosts),
+moments AS (SELECT m, q - m * m - m * (1 - m) * i AS v FROM (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q, count(*) / sum(n) AS i FROM hosts)),
 prior AS (SELECT m, CASE WHEN v > 0 THEN greatest(1, least(1000, m * (1 - m) / v - 1)) ELSE 1000 END AS s FROM moments),
-bad AS (SELECT host FROM hosts, prior WHERE (f + m * s) / (n + s) > 0.5)
+posterior AS (SELECT host, n, s, (f + m * s) / (n + s) AS rate, greatest(0.2, least(0.5, m + 3 * sqrt(m * (1 - m) / (s + 1)))) AS upto FROM hosts, prior),
+bad AS (SELECT host FROM posterior WHERE rate - 2 * sqrt(rate * (1 - rate) / (n + s + 1)) > upto)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, bad.host IS NOT NULL AS host_bad, NOT base_failed AND bad.host IS NULL AS kept
 FROM failed LEFT JOIN bad ON failed.host = bad.host
 """
