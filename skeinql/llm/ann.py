@@ -13,6 +13,8 @@ without clusters lose a tenth of their neighbours even if half of all cells are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,7 +29,7 @@ THRESHOLD = 0.2
 CODES = 16
 #: Entries and queries of a block; entries of a block's scan that are scored exactly at first. The scan's error on these
 #: then tells which others may belong among the nearest; all of them are scored too.
-BLOCK, QUERIES, RERANKED = 8192, 2048, 160
+BLOCK, QUERIES, RERANKED = 8192, 8192, 160
 
 
 class Index:
@@ -120,32 +122,42 @@ def _matrix(column) -> np.ndarray:
 
 
 def _taking_part(vectors: DataFrame) -> DataFrame:
-    """(vec_id, e): rows with an id and a finite vector other than zero, of the commonest dimension."""
-    e = F.col("e")
-    odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))
-    rows = rows.where("vec_id is not null and e is not null").where(~odd & F.exists(e, lambda x: x != 0))
-    common = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("e") == (common["d"] if common else -1))
+    """(vec_id, e): rows with an id and a finite vector other than zero, as it is: floats, or doubles."""
+    exact = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    odd = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("e"))
+    return rows.where("vec_id is not null and e is not null").where(~odd & F.exists("e", lambda x: x != 0))
+
+
+def _uid():
+    """128 bits of a vector: two hashes of it with different seeds."""
+    return F.concat(F.hex(F.xxhash64("e")), F.hex(F.xxhash64(F.lit(1), "e")))
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, cells: int = 1, probes: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id ``every`` divides, its k nearest other rows.
 
-    Rows that are null, zero or not finite take no part, neither do vectors of another dimension than most. Rows that
-    repeat are one; an id with several vectors is a query and a candidate with each, never its own neighbour. Ties go
-    to the smaller id. An empty table gives an empty result. ``cells`` and ``probes``: coarse cells, and how many of
-    them a query scans.
+    Rows that are null, zero or not finite take no part, nor do those without an id. Vectors of several dimensions are
+    as many tables: a query's neighbours are of its own dimension, of any length. Rows that repeat are one; an id with
+    several vectors is a query and a candidate with each, never its own neighbour. Ties go to the smaller id. An empty
+    table gives an empty result. Only vec_id and embedding are read; other columns may have any name. ``cells`` and
+    ``probes``: coarse cells, and how many of them a query scans.
     """
-    spark = vectors.sparkSession
     rows = written(_taking_part(vectors), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("e").alias("uid"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = sorted(r[0] for r in rows.select(F.size("e")).distinct().collect())  # one row a dimension
+    parts = [_searched(rows.where(F.size("e") == d) if len(sizes) > 1 else rows, every, k, cells, probes) for d in sizes]
+    return reduce(DataFrame.unionByName, parts) if parts else out
+
+
+def _searched(rows: DataFrame, every: int, k: int, cells: int, probes: int) -> DataFrame:
+    """``search`` among vectors of one dimension."""
+    spark = rows.sparkSession
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", _uid().alias("uid"))
     least = Window.partitionBy("e").orderBy("vec_id")
     entries = rows.withColumn("r", F.dense_rank().over(least)).where(F.col("r") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    entries = written(entries.select(F.xxhash64("e").alias("uid"), "ids", "e"), "entries")
-    n = entries.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    entries = written(entries.select(_uid().alias("uid"), "ids", "e"), "entries")
+    n, kind = entries.count(), dict(entries.dtypes)["e"]
 
     part = F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(1 << 30))
     sample = _matrix(entries.where(part < int((1 << 30) * min(1.0, TRAINING_ROWS / n))).orderBy("uid").select("e").limit(2 * TRAINING_ROWS).toArrow()["e"]) if n > 1 else _matrix(entries.select("e").toArrow()["e"])
@@ -167,9 +179,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, cells: int = 1, prob
                 at = pa.array(np.repeat(np.arange(b.num_rows), probes))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(best.ravel().astype(np.int32))], ["uid", "e", "cell"])
 
-    entries = written(entries.mapInArrow(coded, "uid long, ids array<long>, e array<float>, cell int, codes binary"), "codes")
+    entries = written(entries.mapInArrow(coded, f"uid string, ids array<long>, e {kind}, cell int, codes binary"), "codes")
     asked = entries.join(queries.select("uid").distinct(), "uid", "left_semi").select("uid", "e")
-    asked = written(asked.mapInArrow(probed, "uid long, e array<float>, cell int"), "probes")
+    asked = written(asked.mapInArrow(probed, f"uid string, e {kind}, cell int"), "probes")
     sizes = entries.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("vb"))
     sizes = sizes.join(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb")), "cell")
     sizes = F.broadcast(sizes)  # one row a cell
@@ -215,9 +227,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, cells: int = 1, prob
                         out[0].append(quids[at + r])
                         out[1].append(ids[c[i]])
                         out[2].append(float(score[i]))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], names=["uid", "ids", "score"])
+        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], names=["uid", "ids", "score"])
 
-    found = tiles.groupBy("cell", "i", "j").applyInArrow(scanned, "uid long, ids array<long>, score double")
+    found = tiles.groupBy("cell", "i", "j").applyInArrow(scanned, "uid string, ids array<long>, score double")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     pairs = queries.distinct().join(found, "uid").select(F.col("vec_id").alias("query_id"), "uid", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
