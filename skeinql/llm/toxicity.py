@@ -5,6 +5,11 @@ apart by signs or spaces) are lattices of characters: a sign is itself or a lett
 letter or a separator may be dropped. Viterbi decoding finds the likeliest letters under a character trigram model.
 Restored words, and their first letters, are scored by shrunken log odds learned from labelled documents; a logistic
 function of a document's highest word scores is its score.
+
+A null text is empty; an empty text has no words and scores as such. Texts of any length are read whole. Documents that
+repeat, or that have a null doc_id, are scored alike, each as a row; of tied words any gives the same score. Without
+labels of both kinds every score is their share. A table without rows gives one. Only doc_id and text (and of labels
+doc_id and the label) are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,13 +35,12 @@ THRESHOLD = 0.5
 #: Pseudo-counts that pull a word's odds to the prior.
 SHRINK = 4.0
 CACHE = 300_000
-BEAM = 24
 _LETTERS = string.ascii_lowercase + "".join(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()) + "œ"
 _AT = {c: i + 2 for i, c in enumerate(_LETTERS)}
 #: Symbols of the character model: 0 border, 1 other, then letters.
 SYMBOLS = len(_LETTERS) + 2
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-_COST_LOOK, _COST_DROP, _COST_REPEAT, _COST_KEEP = 1.0, 0.5, 0.5, 0.5
+_COST_LOOK, _COST_DROP, _COST_REPEAT, _COST_KEEP, _COST_BORDER = 1.0, 0.5, 0.5, 0.5, 1.0
 _STRIP = string.punctuation.replace("@", "").replace("$", "").replace("!", "") + "«»“”„‘’…–—"
 _SEPARATORS = set(" .-_*~'·,")
 
@@ -65,7 +69,11 @@ class CharacterModel:
         self.cost = (-np.log(three)).astype(np.float32)
 
     def decode(self, token: str) -> str:
-        """The likeliest letters behind ``token`` (lower case)."""
+        """The likeliest letters behind ``token`` (lower case); a space in it may be a border of words.
+
+        All states are kept: as many as pairs of letters that the last signs may stand for, which no length of the
+        token increases beyond the pairs of symbols.
+        """
         cost = self.cost
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
@@ -83,8 +91,8 @@ class CharacterModel:
                         new[b, s] = (t, (path, x))
                 if drop is not None and ((a, b) not in new or total + drop < new[a, b][0]):
                     new[a, b] = (total + drop, path)
-            if len(new) > BEAM:
-                new = dict(heapq.nsmallest(BEAM, new.items(), key=lambda e: e[1][0]))
+                if c == " " and path and ((0, 0) not in new or total + _COST_BORDER + float(cost[a, b, 0]) < new[0, 0][0]):
+                    new[0, 0] = (total + _COST_BORDER + float(cost[a, b, 0]), (path, " "))
             states, before = new, c
         _, path = min(((t + float(cost[a, b, 0]), p) for (a, b), (t, p) in states.items()), key=lambda e: e[0])
         out = []
@@ -114,7 +122,7 @@ def readings(token: str, model: CharacterModel) -> tuple[str, ...]:
     if word and (_stretched(word) and word.isalpha() or disguised(word)):
         for w in dict.fromkeys((word, word.rstrip("!$@"))):
             if w:
-                words += (model.decode(w),)
+                words += tuple(model.decode(w).split())
     return tuple(dict.fromkeys(words))
 
 
@@ -137,7 +145,7 @@ class _Cached(dict):
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct tokens of a text in lower case; runs of three or more single characters are a token as well, joined by dots."""
+    """Distinct tokens of a text in lower case; runs of three or more single characters are a token as well, joined by spaces."""
     parts = text.lower().split()
     out = set(parts)
     ones = [i for i, t in enumerate(parts) if len(t) == 1]
@@ -147,7 +155,7 @@ def tokens(text: str) -> set[str]:
         while end + 1 < len(ones) and ones[end + 1] == ones[end] + 1:
             end += 1
         if end - at >= 2:
-            out.add(".".join(parts[ones[at] : ones[end] + 1]))
+            out.add(" ".join(parts[ones[at] : ones[end] + 1]))
         at = end + 1
     return out
 
