@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinql.llm.graph import components
-from skeinql.llm.shared import discard, shuffled, slices, written
+from skeinql.llm.shared import discard, fresh, shuffled, slices, small_or_shuffled, written
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 56, 3
@@ -178,7 +178,7 @@ def _exact_tile(t: pa.Table) -> pa.Table:
     return _edges(ids, forest(n, bits, own, linked))
 
 
-def _tiles(rows: DataFrame, key: str) -> DataFrame:
+def _tiles(rows: DataFrame, key: str, sizes_join=shuffled) -> DataFrame:
     """Rows (key, doc_id, n) dealt to size-banded tiles: adds tile (long) and own (the tile's own size band).
 
     A tile that exceeds TILE rows, or TILE_SHINGLES, is dealt again: each document gets a salt and goes to the tiles of its salt
@@ -188,7 +188,7 @@ def _tiles(rows: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("low", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1))
     sizes = rows.groupBy(key, "low").agg(F.count("*").alias("g"), F.count(F.when(F.col("own"), 1)).alias("mine"), F.sum("n").alias("work"))
     sizes = sizes.where("g > 1 and mine > 0").select(key, "low", F.ceil(F.greatest(F.col("g") / TILE, F.col("work") / TILE_SHINGLES)).cast("int").alias("salts"))
-    rows = rows.join(shuffled(sizes), [key, "low"])
+    rows = rows.join(sizes_join(sizes), [key, "low"])
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("salts")).cast("int")
     rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     return rows.withColumn("tile", F.xxhash64(key, "low", F.least("salt", "other"), F.greatest("salt", "other"))).drop("band", "low", "salts", "salt", "other")
@@ -248,7 +248,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     families = written(components(bound), "families")
 
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(near.select("doc_id", "n").distinct(), "doc_id")
-    dealt = _tiles(members, "family").select("doc_id", "n", "own", "tile").join(near.select("doc_id", "n", "hashes"), ["doc_id", "n"])
+    dealt = _tiles(members, "family", small_or_shuffled).select("doc_id", "n", "own", "tile").join(near.select("doc_id", "n", "hashes"), ["doc_id", "n"])
     exact = dealt.groupBy("tile").applyInArrow(_exact_tile, "u long, v long")
 
     twins = valid.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").select("doc_id", "rep")
@@ -265,8 +265,9 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the document whose id is least, once; rows without an id stay."""
     classes = jaccard_classes(docs)
-    kept = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).groupBy("__kept").agg(F.count("*").alias("copies")), "kept")
-    out = docs.join(shuffled(kept.select("__kept")), docs["doc_id"] == F.col("__kept"), "left_semi")
+    (own,) = fresh(docs, "kept")
+    kept = written(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("copies")), "kept")
+    out = docs.join(shuffled(kept.select(own)), docs["doc_id"] == F.col(own), "left_semi")
     out = out.dropDuplicates(["doc_id"]) if kept.where("copies > 1").limit(1).count() else out
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
 

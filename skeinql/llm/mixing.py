@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import WORD, shuffled, small_or_shuffled, written
+from skeinql.llm.shared import WORD, fresh, shuffled, small_or_shuffled, written
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 #: 2**32 over the golden ratio, odd: the points of 2**32 slots are distinct.
@@ -77,10 +77,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, text and source are read).
 
     taken: the words of the document in the blocks that the schedule takes, repeats counted, ``repeats`` times its size
-    at most. Rows that repeat are shuffled as rows of their own; texts without words get 0; an empty table gives none.
+    at most. Rows that repeat, or that have a null doc_id, are shuffled as rows of their own, those of one hash (ties) by
+    doc_id and size. A null or empty text has no words and gets 0; texts of any length are counted whole. A null source is
+    a source. An empty table gives none. Other columns of ``docs`` may have any name.
     With ``settle``, a source that no slot falls to gets further slots, the last one cut at its target.
     """
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    other = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("other")  # rows without an id are told apart by their texts
+    base = docs.select("doc_id", other, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = written(base, "sizes")
     rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block or block_size(total)
@@ -98,8 +101,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     placed = base.join(known, base["source"].eqNullSafe(known["known"])).drop("known")
 
     depth = max(1, min(6, round(math.log(max(rows, 1), 16) / 2)))  # chunks about as many as the rows of one
-    placed = placed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("chunk", F.substring("h", 1, depth))
-    placed = written(_before(placed, "sid", "chunk", ["h", "doc_id", "size"], F.col("size")).drop("h", "chunk", "source"), "placed")
+    placed = placed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), "other").cast("binary"))).withColumn("chunk", F.substring("h", 1, depth))
+    placed = written(_before(placed, "sid", "chunk", ["h", "doc_id", "size"], F.col("size")).drop("h", "chunk", "source", "other"), "placed")
 
     line = placed.where("size > 0 and blocks > 0").withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("at") + e * F.col("source_size"))))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -110,7 +113,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     return used.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
-
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix begins to read them, all columns as they are; rows it never reaches go.
 
@@ -118,9 +120,10 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     target. Rows of one doc_id share what is taken of all of them. Rows without an id, or without a word, have nothing
     to mix and stay as they are, once.
     """
+    own, count, turn = fresh(docs, "id", "times", "turn")
     share = F.least(F.lit(repeats), F.ceil(F.sum("taken") / F.sum("size"))).cast("int")
-    times = mixed(docs, weights, repeats, LEAST_BLOCK, settle=True).where("doc_id is not null and size > 0").groupBy("doc_id").agg(share.alias("__times")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(shuffled(times), docs["doc_id"] == F.col("__id"), "left").withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))))
+    times = mixed(docs, weights, repeats, LEAST_BLOCK, settle=True).where("doc_id is not null and size > 0").groupBy(F.col("doc_id").alias(own)).agg(share.alias(count))
+    out = docs.join(shuffled(times), docs["doc_id"] == F.col(own), "left").withColumn(turn, F.explode(F.array_repeat(F.lit(0), F.coalesce(count, F.lit(1)))))
     return out.select(*docs.columns)
 
 
