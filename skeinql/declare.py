@@ -12,13 +12,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Any
 
 from skeinql.errors import Code, Refused
-from skeinql.functions.expr import Aggregate, Named, Scalar, type_of
+from skeinql.functions.expr import Aggregate, Declared, Named, Scalar, type_of
 from skeinql.operators.fetch import child
-from skeinql.plans.query import Nested, Query
+from skeinql.plans.query import FieldIndex, Nested, Query, Source
 from skeinql.plans.schema import Schema, Table
 
 
@@ -43,12 +44,14 @@ class Converter:
     ordered: bool = False
 
 
-def column(name: str, default: bool = True, inserted: bool = True, converter: Converter | None = None, treat: str | None = None, via: Callable[[Table], Table] | None = None) -> Part:
-    """A column; ``treat``: of a subtype; ``via``: of a joined table; ``default``: is in the query unless asked otherwise."""
+def column(name: str, default: bool = True, inserted: bool = True, converter: Converter | None = None, treat: str | None = None, via: Callable[[Table], Table] | None = None, type: str | None = None) -> Part:
+    """A column; ``treat``: of a subtype; ``via``: of a joined table, entity or source; ``default``: is in the query
+    unless asked otherwise; ``type``: what the stored type must be."""
 
     def make(t: Table) -> Any:
         t = via(t) if via else t
-        return (t.treat(treat) if treat else t).col(name)
+        of = (t.treat(treat) if treat else t).col(name)
+        return Declared(of, type) if type else of
 
     return Part("column", make, (name,), default, inserted, converter)
 
@@ -83,6 +86,21 @@ def children(relation: str, of: type, parent_key: str, order: Callable[[Table],
     return Part("children", None, (relation, of, parent_key, order, most, single), inserted=False)
 
 
+def filter_only(name: str, via: Callable[[Table], Table] | None = None) -> Part:
+    """A column that filters may name and nothing reads."""
+    return Part("filter", lambda t: (via(t) if via else t).col(name), inserted=False)
+
+
+def discriminator(value: Any) -> Part:
+    """A constant that tells this source's rows from those of the others in a set operation."""
+    return Part("tag", None, (value,), inserted=False)
+
+
+def depth() -> Part:
+    """The level of a row in a recursive source."""
+    return Part("depth", None, inserted=False)
+
+
 def subtype() -> Part:
     return Part("computed", type_of, inserted=False)
 
@@ -104,13 +122,82 @@ def model(schema: Schema, root: str | Table, single_group: bool = False):
         cls.__hash__ = None
         cls.query, cls.model_items, cls.insert_columns, cls.changes_of = classmethod(_query), classmethod(_items), classmethod(_insert_columns), classmethod(_changes)
         cls.selected = property(lambda self: set(self._values))
+        cls.filters = classmethod(lambda cls: {n: p.make(cls.root) for n, p in cls.parts.items() if p.kind in ("column", "computed", "filter")})
+        cls.fields = classmethod(lambda cls: FieldIndex(cls.query(list(cls.parts)), cls.filters()))
+        return cls
+
+    return wrap
+
+
+def source_model(schema: Schema, root: str | Table, name: str, key: tuple[str, ...] | None = None):
+    """Makes a class a source: ``.source(where)`` is the sub-query of its parts, by their names.
+
+    ``recursive``, as (child, parent, max_depth): rows below those that ``where`` chooses; a ``depth()`` part names the
+    level, and ``tree`` refuses nodes that are reached twice.
+    """
+
+    def wrap(cls: type) -> type:
+        cls = model(schema, root)(cls)
+
+        def source(cls: type, where: Callable | None = None, recursive: tuple[str, str, int] | None = None, tree: bool = False) -> Source:
+            parts = cls.parts.items()
+            whole = Query(cls.root, tuple(cls.model_items(cls.root)))
+            keys = [p.make(cls.root) for _, p in parts if p.kind == "group"]
+            if keys:
+                whole = replace(whole, group=tuple(keys))
+            out = Source(name, whole.where(where) if where else whole, key, {n: p.options[0] for n, p in parts if p.kind == "tag"})
+            level = next((n for n, p in parts if p.kind == "depth"), None)
+            if recursive is None:
+                if level is not None:
+                    raise Refused(Code.RECURSION_STEP, f"{level} is a level, but the source is not recursive")
+                return out
+            return out.recursive(*recursive, depth=level, tree=tree, links=whole)
+
+        cls.source = classmethod(source)
         return cls
 
     return wrap
 
 
 #: Names that a model class has itself.
-_TAKEN = {"parts", "root", "single_group", "query", "model_items", "insert_columns", "changes_of", "selected"}
+_TAKEN = {"source", "filters", "fields", "parts", "root", "single_group", "query", "model_items", "insert_columns", "changes_of", "selected"}
+
+
+#: (model, attribute) of reads of attributes that were not selected, while ``auditing`` runs.
+_unselected: list | None = None
+
+
+@contextmanager
+def auditing():
+    """Reads of unselected attributes in the block, as (model, attribute) pairs: they give None there, and are listed."""
+    global _unselected
+    before, _unselected = _unselected, []
+    try:
+        yield _unselected
+    finally:
+        _unselected = before
+
+
+def write_model(of: type, *names: str, update: bool = False):
+    """Makes a class a shape of inserts (``.row()``) or updates (``.changes()``) of a model's entity.
+
+    It holds the named attributes of ``of``, by default all that are inserted; an update has no key and no version.
+    """
+
+    def wrap(cls: type) -> type:
+        parts = {n: p for n, p in of.parts.items() if p.kind == "column" and p.inserted and (not names or n in names)}
+        if unknown := set(names) - set(parts):
+            raise Refused(Code.UNKNOWN_NAME, str(sorted(unknown)))
+        if update:
+            parts = {n: p for n, p in parts.items() if p.options[0] not in of.root.key and p.options[0] != of.root.entity.version}
+        cls.parts, cls.root = parts, of.root
+        for n in parts:
+            setattr(cls, n, _Attribute(n))
+        cls.__init__ = _init
+        setattr(cls, "changes" if update else "row", lambda self: _insert_columns(type(self), self))
+        return cls
+
+    return wrap
 
 
 class _Attribute:
@@ -120,6 +207,9 @@ class _Attribute:
     def __get__(self, obj, owner=None):
         if obj is None:
             return owner.parts[self.name]
+        if self.name not in obj._values and _unselected is not None:
+            _unselected.append((owner.__name__, self.name))
+            return None
         if self.name not in obj._values:
             raise Refused(Code.UNKNOWN_NAME, f"{self.name} was not selected")
         return obj._values[self.name]
@@ -138,7 +228,7 @@ def _init(self, **values: Any) -> None:
 def _items(cls, table: Table, names: list[str] | None = None) -> list:
     out = []
     for n, p in cls.parts.items():
-        if p.kind == "children" or (names is None and not p.default) or (names is not None and n not in names):
+        if p.kind in ("children", "filter", "tag", "depth") or (names is None and not p.default) or (names is not None and n not in names):
             continue
         if p.kind == "nested":
             t = p.make(table)

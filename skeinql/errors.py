@@ -35,6 +35,7 @@ class Code(Enum):
     UNBINDABLE = "SK140"
     INTEGRAL_DIVISION = "SK141"
     EMPTY_CASE_CONDITION = "SK142"
+    CASE_CONDITION = "SK143"
     BAD_FUNCTION = "SK144"
     AGGREGATE_OF_CORRELATED = "SK145"
     CORRELATED_TO_MANY = "SK146"
@@ -66,6 +67,10 @@ class Code(Enum):
     TWO_CHILDREN = "SK180"
     ENRICHER_SIZE = "SK181"
     TOO_MANY_CHILDREN = "SK182"
+    PLAN_TWICE = "SK183"
+    LOOKUP_NOTHING = "SK184"
+    NULL_GROUP = "SK185"
+    TWO_CATCH_ALLS = "SK186"
     TOO_DEEP = "SK190"
     CYCLE = "SK191"
     DUPLICATE_NODE = "SK192"

@@ -108,6 +108,24 @@ class Typed(Scalar):
         return (self.of,)
 
 
+@dataclass(frozen=True)
+class Declared(Scalar):
+    """A column whose type was declared; another type is refused when the query is compiled."""
+
+    of: Col
+    type: str
+
+    def parts(self):
+        return (self.of,)
+
+
+@dataclass(frozen=True)
+class Blank(Scalar):
+    """Null, of the type of a group key that was not chosen; it reads nothing."""
+
+    of: Col
+
+
 @dataclass(frozen=True)
 class Apply(Scalar):
     """A built-in form: op over arguments."""
@@ -296,6 +314,8 @@ class cases:
         c = conditions(build)
         if not c.terms:
             raise Refused(Code.EMPTY_CASE_CONDITION, "a branch has no condition")
+        if any(type(x).__name__ in ("ExistsPath", "ExistsSub", "InSub", "Fits") for x in walk(c)):
+            raise Refused(Code.CASE_CONDITION, "a branch holds a sub-query or a named predicate")
         return cases((*self._branches, (c, lifted(then))))
 
     def otherwise(self, v: Any) -> Scalar:

@@ -9,9 +9,10 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from skeinql.errors import Code, Refused
 from skeinql.functions.expr import Col, Order
 from skeinql.operators.fetch import attach, enriched
 from skeinql.plans.compiler import Compiled, Compiler, ordered
+from skeinql.plans.filters import All, conditions
 from skeinql.plans.query import Query, columns
 from skeinql.sources.catalog import Catalog
 
@@ -29,20 +31,75 @@ COUNT_MODES = ("count", "no_count", "only_count", "inline_count")
 
 @dataclass(frozen=True)
 class KeyGroups:
-    """``column``'s value for a key, where it follows from the key: a read by keys then has a condition on it.
+    """What a key tells of where its row lies, so that a read by keys reads those partitions only.
 
-    Beyond ``most`` values, the condition is the range from the least to the greatest.
+    ``value`` gives a key's group. ``column`` holds the group in the table: one condition on it, beyond ``most`` groups
+    the range from the least to the greatest. ``binds`` are parameters of the query with a function of the group: one
+    statement a group, all in one plan. ``rule`` gets the numbers of keys and groups and says whether grouping pays; if
+    not, all keys are in the group ``all``, which excludes no row. ``verify``: keys without a row are read again so.
     """
 
-    column: Col
+    column: Col | None
     value: Callable[[Any], Any]
     most: int = 1000
+    binds: tuple[tuple[str, Callable], ...] = ()
+    rule: Callable[[int, int], bool] | None = None
+    all: Any = None
+    verify: bool = False
+
+    @staticmethod
+    def by(value: Callable[[Any], Any], column: Col | None = None) -> KeyGroups:
+        return KeyGroups(column, value)
+
+    #: As ``by``; the function gets a tuple, an element for each column of the key.
+    by_composite = by
+
+    def bind(self, name: str, value: Callable[[Any], Any]) -> KeyGroups:
+        return replace(self, binds=(*(b for b in self.binds if b[0] != name), (name, value)))
+
+    def group_when(self, rule: Callable[[int, int], bool], all: Any = None) -> KeyGroups:
+        return replace(self, rule=rule, all=all)
+
+    def verify_missing(self, all: Any = None) -> KeyGroups:
+        if self.rule is not None and all != self.all:
+            raise Refused(Code.TWO_CATCH_ALLS, "one group for all keys, not two")
+        return replace(self, verify=True, all=all)
+
+    def assume_in_range(self) -> KeyGroups:
+        return replace(self, verify=False)
+
+    def groups(self, keys: list[tuple]) -> dict[Any, list[tuple]]:
+        out: dict[Any, list[tuple]] = {}
+        for k in keys:
+            g = self.value(k if len(k) > 1 else k[0])
+            if g is None:
+                raise Refused(Code.NULL_GROUP, str(k))
+            out.setdefault(g, []).append(k)
+        return out
 
-    def narrowed(self, q: Query, keys: list[tuple]) -> Query:
-        values = sorted({self.value(k if len(k) > 1 else k[0]) for k in keys})
+    def condition(self, keys: list[tuple]) -> All:
+        """The condition on the column that the keys' groups make."""
+        values = sorted(self.groups(keys))
+        if self.column is None or self.rule is not None and not self.rule(len(keys), len(values)):
+            return All(())
         if len(values) > self.most:
-            return q.where(lambda f: f.between(self.column, values[0], values[-1]))
-        return q.where(lambda f: f.is_in(self.column, values))
+            return conditions(lambda f: f.between(self.column, values[0], values[-1]))
+        return conditions(lambda f: f.is_in(self.column, values))
+
+    def narrowed(self, q: Query, keys: list[tuple]) -> Query:
+        return replace(q, condition=All((*q.condition.terms, *self.condition(keys).terms)))
+
+    def everything(self, q: Query) -> Query:
+        return q.bind(**{n: f(self.all) for n, f in self.binds})
+
+    def rounds(self, q: Query, keys: list[tuple]) -> list[tuple[Query, list[tuple]]]:
+        """Queries and the keys that each is to find."""
+        groups = self.groups(keys)
+        if self.rule is not None and not self.rule(len(keys), len(groups)):
+            return [(self.everything(q), keys)]
+        if not self.binds:
+            return [(self.narrowed(q, keys), keys)]
+        return [(self.narrowed(q, ks).bind(**{n: f(g) for n, f in self.binds}), ks) for g, ks in groups.items()]
 
 
 @dataclass(frozen=True)
@@ -79,7 +136,7 @@ class Engine:
         c = self.compiled(q)
         out = c.frame.orderBy(*order) if (ordered_ or limit is not None) and (order := c.ordering(limit is not None)) else c.frame
         out = c.visible(out.limit(limit) if limit is not None else out)
-        return attach(self, q, out) if q.children else out
+        return attach(self, q, out, limit) if q.children else out
 
     def explain(self, q: Query) -> str:
         return self.frame(q)._jdf.queryExecution().explainString(self.catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -92,14 +149,16 @@ class Engine:
             return []
         c = self.compiled(q)
         out = c.frame.orderBy(*order) if (order := c.ordering(limit is not None)) and (c.order or limit is not None) else c.frame
-        return self._models(q, c.visible(out.limit(limit) if limit is not None else out))
+        return self._models(q, c.visible(out.limit(limit) if limit is not None else out), limit)
 
-    def one(self, q: Query, key: Any = None) -> Any:
+    def one(self, q: Query, key: Any = None, groups: KeyGroups | None = None) -> Any:
         """The only row, or None; two are refused."""
         q = replace(q, order=())
+        if groups is not None and key is not None:
+            return next(iter(self.by_keys(q, [key], groups).values()), None)
         if key is not None:
             q = q.where(lambda f: [f.eq(Col(q.root, k), v) for k, v in zip(q.key, _tuple(key), strict=True)])
-        found = self._models(q, self.compiled(q).visible().limit(2))
+        found = self._models(q, self.compiled(q).visible().limit(2), 2)
         if len(found) > 1:
             raise Refused(Code.TWO_ROWS, "one row was asked for")
         return found[0] if found else None
@@ -120,17 +179,29 @@ class Engine:
             return {}
         if q.grouped or any(x.table.many for i in q.items for x in columns(i)):
             raise Refused(Code.TO_MANY_SELECTION, "by_keys reads one row a key")
-        c = self.compiled(groups.narrowed(replace(q, order=()), asked) if groups else replace(q, order=()))
-        out = self._with_keys(c, asked).select(*c.names, *(F.col(k) for k in c.key))
-        rows = out.collect()
+        q = replace(q, order=())
         found: dict[tuple, Row] = {}
-        for r in rows:
+        schema = self._found(q, groups.rounds(q, asked) if groups else [(q, asked)], found)
+        if groups is not None and groups.verify and (missing := [k for k in asked if k not in found]):
+            self._found(q, [(groups.everything(q), missing)], found)
+        there = [k for k in asked if k in found]
+        models = self._finish(q, [found[k] for k in there], schema)
+        return dict(zip([k if len(k) > 1 else k[0] for k in there], models, strict=True))
+
+    def _found(self, q: Query, rounds: list[tuple[Query, list[tuple]]], found: dict[tuple, Row]) -> T.StructType:
+        """Rows of all rounds, in one plan, into ``found`` by key; gives the schema of the items."""
+        frames = []
+        for part, keys in rounds:
+            c = self.compiled(part)
+            frames.append(self._with_keys(c, keys).select(*(F.col(f"`{n}`") for n in c.names), *(F.col(k) for k in c.key)))
+        rows = reduce(DataFrame.unionAll, frames)
+        make = Row(*c.names)
+        for r in rows.collect():
             k = tuple(r[x] for x in c.key)
             if k in found:
                 raise Refused(Code.DUPLICATE_KEY, str(k))
-            found[k] = r
-        models = self._rows_to_models(q, [Row(*c.names)(*(found[k][n] for n in c.names)) for k in asked if k in found])
-        return dict(zip([k if len(k) > 1 else k[0] for k in asked if k in found], models, strict=True))
+            found[k] = make(*(r[n] for n in c.names))
+        return T.StructType([rows.schema[n] for n in c.names])
 
     def _with_keys(self, c: Compiled, asked: list[tuple]) -> DataFrame:
         fields = [c.frame.schema[k] for k in c.key]
@@ -142,11 +213,8 @@ class Engine:
         return c.frame.join(F.broadcast(keys) if len(asked) <= BROADCAST_KEYS else keys, on, "left_semi")
 
     def count(self, q: Query) -> int:
-        """Rows, or groups, that ``list`` would read; roots once where only a dropped order would multiply them."""
-        q = replace(q, order=())
-        if q.grouped:
-            return self.compiled(q).frame.count()
-        return self.compiled(q).frame.count()
+        """Rows, or groups, that ``list`` would read; the order is dropped, and with it joins that only it reads."""
+        return self.compiled(replace(q, order=())).frame.count()
 
     # pages
     def page(self, q: Query, offset: int, size: int, mode: str = "count") -> Page:
@@ -159,19 +227,24 @@ class Engine:
         if mode == "only_count":
             n = self.count(q)
             return Page([], n, offset + size < n)
-        total = None
-        if mode in ("count", "inline_count"):
+        total, seen = None, Observation() if mode == "inline_count" else None
+        if mode == "count":
             total = self.count(q)
             if offset >= total:
                 return Page([], total, False)
-        rows = self.page_frame(q, offset, size + (mode == "no_count"))
-        items = self._models(q, rows)
+        frame = self.page_frame(q, offset, size + (mode == "no_count"), seen)
+        rows = frame.collect()
+        if seen is not None:  # what the sort of the page has read: the rows are counted as they pass
+            total = seen.get["n"]
+        items = self._finish(q, rows, frame.schema)
         more = offset + size < total if total is not None else len(items) > size
         return Page(items[:size], total, more)
 
-    def page_frame(self, q: Query, offset: int, size: int) -> DataFrame:
-        """Rows ``offset`` to ``offset + size`` in the query's order, ties by key."""
+    def page_frame(self, q: Query, offset: int, size: int, seen: Observation | None = None) -> DataFrame:
+        """Rows ``offset`` to ``offset + size`` in the query's order, ties by key; ``seen`` counts all of them (``n``)."""
         c = self.compiled(q)
+        if seen is not None:
+            c.frame = c.frame.observe(seen, F.count(F.lit(1)).alias("n"))
         if q.keys_first:
             if not q.key or q.grouped:
                 raise Refused(Code.NEEDS_KEY, "keys first needs a key")
@@ -199,8 +272,10 @@ class Engine:
         values = [k.values(r) for r in rows]
         if given is not None and given in values:
             raise Refused(Code.REPEATED_KEY, "the cursor's own row came again")
+        if any(v is None and o.nulls is None for row in values[-1:] + values[:1] for v, (_, o) in zip(row, k.parts, strict=True)):
+            raise Refused(Code.NULL_IN_KEYSET, "an order column is null and its order does not say where nulls go")
         names = k.compiled.names
-        items = self._rows_to_models(q, [Row(*names)(*(r[n] for n in names)) for r in rows])
+        items = self._finish(q, [Row(*names)(*(r[n] for n in names)) for r in rows], T.StructType([frame.schema[n] for n in names]))
         has_next, has_previous = (cursor is not None, more) if back else (more, cursor is not None)
         return KeysetPage(items, k.encode(values[-1]) if rows and has_next else None, k.encode(values[0]) if rows and has_previous else None, has_next, has_previous)
 
@@ -237,19 +312,24 @@ class Engine:
         if size < 1:
             raise Refused(Code.PAGE_SIZE, str(size))
         c = self.compiled(q)
-        rows = c.visible(c.frame.orderBy(*c.ordering(True)))
-        rows = attach(self, q, rows) if q.children else rows
-        n, page = 0, []
+        rows = c.frame.orderBy(*c.ordering(True))
+        make, schema = Row(*c.names), T.StructType([rows.schema[n] for n in c.names])
+        once = bool(q.key) and not q.grouped and not any(x.table.many for i in q.items for x in columns(i))
+        n, page, last = 0, [], None
 
         def flush() -> int:
-            models = self._rows_to_models(q, page)
+            models = self._finish(q, page, schema)
             models = transform(models) if transform else models
             for m in models:
                 sink(m)
             return len(models)
 
         for r in rows.toLocalIterator(prefetchPartitions=True):
-            page.append(r)
+            key = tuple(r[k] for k in c.key)
+            if once and key == last:
+                raise Refused(Code.REPEATED_KEY, str(key))
+            last = key
+            page.append(make(*(r[x] for x in c.names)))
             if len(page) == size:
                 n += flush()
                 page = []
@@ -268,11 +348,24 @@ class Engine:
             cursor = p.next_cursor
 
     # models
-    def _models(self, q: Query, rows: DataFrame) -> list:
+    def _models(self, q: Query, rows: DataFrame, most: int | None = None) -> list:
+        """``most``: rows that there can be, if a limit says so."""
+        if q.children and most is not None:
+            return self._finish(q, rows.collect(), rows.schema)
         if q.children:
             rows = attach(self, q, rows)
         return self._rows_to_models(q, rows.collect())
 
+    def _finish(self, q: Query, rows: list[Row], schema: T.StructType) -> list:
+        """Models of rows that are here: their children are read by their keys."""
+        if q.children and rows:
+            at = "__at"
+            here = self.catalog.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([*schema.fields, T.StructField(at, T.LongType())]))
+            full = attach(self, q, here, len(rows))
+            names = [n for n in full.columns if n != at]
+            rows = [Row(*names)(*(r[n] for n in names)) for r in sorted(full.collect(), key=lambda r: r[at])]
+        return self._rows_to_models(q, rows)
+
     def _rows_to_models(self, q: Query, rows: list) -> list:
         rows = enriched(q, rows)
         out = [q.mapper(r) for r in rows] if q.mapper else rows

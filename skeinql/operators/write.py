@@ -20,8 +20,11 @@ from skeinql.plans.compiler import Compiler, Scope
 from skeinql.plans.filters import All, conditions
 from skeinql.plans.query import Query
 from skeinql.plans.schema import Table
+from skeinql.sources.scratch import folder, remove, stored
 
 MARK = "__written"
+#: New rows up to which an upsert broadcasts them; they are counted before.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,10 @@ class Update(Chosen):
     def set_null(self, column: str) -> Update:
         return self._assign(column, None)
 
+    def default(self, column: str, make: Callable[[], Any]) -> Update:
+        """A write assignment: a value, made now, for a column that nothing else sets."""
+        return self if any(c == column for c, _ in self.assigned) else self.set(column, make())
+
     def changes(self, changed: dict[str, Any]) -> Update:
         """A change set: only the columns that were written, None for null."""
         out = self
@@ -248,28 +255,49 @@ class Writer:
         out = scope.frame.withColumn(MARK, chosen).select(*(scope.at(d.root, n).alias(n) for n in names), MARK)
         return Written(out.where(~F.col(MARK)).drop(MARK), out.where(MARK).drop(MARK))
 
-    def chunks(self, w: Update | Delete, size: int, start_after: Any = None) -> Iterator[tuple[Any, Written]]:
+    def chunks(self, w: Update | Delete, size: int, start_after: Any = None, commit: bool = False) -> Iterator[tuple[Any, Written]]:
         """The write in steps of ``size`` keys in key order, for work that is taken up again: (last key, written).
 
-        Each step is of the table as the catalog has it; ``catalog.frames`` is set to what a step leaves.
+        The rows are chosen once, from the table as it is when the first step begins. ``catalog.frames`` is set to what
+        a step leaves: the table with the write on all keys so far, so that its plan is the same after each step. With
+        ``commit`` each step's table is written, in the folder that executors share, and read from there.
         """
         w._checked()
         if len(w.root.key) != 1:
             raise Refused(Code.NEEDS_KEY, "chunks need a key of one column")
-        key, last = w.root.key[0], start_after
+        if size < 1:
+            raise Refused(Code.PAGE_SIZE, str(size))
+        key, last, name, place = w.root.key[0], start_after, w.root.entity.name, None
+        first = now = self.catalog.frame(name)
         while True:
+            self.catalog.frames[name] = first
             scope, chosen = self._marked(w)
             rows = scope.frame.where(chosen)
             if last is not None:
                 rows = rows.where(scope.at(w.root, key) > F.lit(last))
             keys = [r[0] for r in rows.select(scope.at(w.root, key).alias("k")).orderBy("k").limit(size).collect()]
             if not keys:
+                self.catalog.frames[name] = now
                 return
-            step = replace(w, condition=All(()), keys=tuple((k,) for k in keys))
-            out = self.update(step) if isinstance(step, Update) else self.delete(step)
-            last = keys[-1]
-            yield last, out
-            self.catalog.frames[w.root.entity.name] = out.after
+            low, last = last if commit else start_after, keys[-1]
+
+            def upto(f: Any, low: Any = low, high: Any = last) -> None:
+                f.lte(Col(w.root, key), high)
+                if low is not None:
+                    f.gt(Col(w.root, key), low)
+
+            affected = self._written(replace(w, condition=All(()), keys=tuple((k,) for k in keys), everything=False)).affected
+            now = self._written(w.where(upto)).after
+            if commit:
+                before, place = place, folder(self.catalog.spark, f"{name}-step")
+                first = now = stored(now, place)
+                if before is not None:
+                    remove(self.catalog.spark, before)
+            self.catalog.frames[name] = now
+            yield last, Written(now, affected)
+
+    def _written(self, w: Update | Delete) -> Written:
+        return self.update(w) if isinstance(w, Update) else self.delete(w)
 
     # inserting
     def incoming(self, i: Insert) -> DataFrame:
@@ -300,7 +328,7 @@ class Writer:
         return rows.select(*(given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in there.columns))
 
     def insert(self, i: Insert) -> Written:
-        """Appended rows; with a conflict clause, an upsert by one full outer join on the conflict's columns."""
+        """Appended rows; with a conflict clause, an upsert: few rows are broadcast, many meet the table in a full outer join."""
         there, new = self.catalog.frame(i.root.entity.name), self.incoming(i)
         if i.conflict is None:
             return Written(there.unionByName(new), new)
@@ -325,7 +353,14 @@ class Writer:
             there = there.withColumn("__arbiter", arbiter)
         old = there.select(*(F.col(n).alias(f"__t_{n}") for n in names), "__arbiter", F.lit(True).alias("__there"))
         add = new.select(*(F.col(n).alias(f"__n_{n}") for n in names), F.lit(True).alias("__new"))
-        both = old.join(add, _on([(F.col(f"__t_{k}"), F.col(f"__n_{k}")) for k in c.columns]) & F.col("__arbiter"), "full_outer")
+        on = _on([(F.col(f"__t_{k}"), F.col(f"__n_{k}")) for k in c.columns]) & F.col("__arbiter")
+        if (i.rows is not None and len(i.rows) <= BROADCAST_ROWS) or (i.rows is None and new.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS):
+            # few new rows go to the table, not the table to them: those that meet none there are added
+            met = old.join(F.broadcast(add.drop("__new")), on).select(*(F.col(f"__n_{k}").alias(f"__m_{k}") for k in c.columns)).distinct()
+            fresh = add.join(F.broadcast(met), _on([(F.col(f"__n_{k}"), F.col(f"__m_{k}")) for k in c.columns]), "left_anti")
+            both = old.join(F.broadcast(add), on, "left").unionByName(fresh, allowMissingColumns=True)
+        else:
+            both = old.join(add, on, "full_outer")
         matched = F.col("__there").isNotNull() & F.col("__new").isNotNull()
         changes = dict(c.updates or ())
         if c.condition is not None:

@@ -1,4 +1,4 @@
-"""Definitions to DataFrames. The only module that makes columns of them; everything stays lazy."""
+"""Definitions to DataFrames. The only module that makes columns of them; all but recursive sources stays lazy."""
 
 from __future__ import annotations
 
@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from skeinql.errors import Code, Refused
-from skeinql.functions.expr import Aggregate, Apply, Case, Col, Correlated, Custom, Named, Order, Outer, Param, Scalar, TypeOf, Typed, Value, Window, walk
+from skeinql.functions.expr import Aggregate, Apply, Blank, Case, Col, Correlated, Custom, Declared, Named, Order, Outer, Param, Scalar, TypeOf, Typed, Value, Window, walk
 from skeinql.plans import filters as C
 from skeinql.plans.query import Nested, Query, Source, bare, expressions, output_name
 from skeinql.plans.schema import Table
 from skeinql.sources.catalog import Catalog
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: Values of an ``in`` that are literals of the plan; more are rows, and so many of them are broadcast.
+LITERALS, BROADCAST_VALUES = 500, 100_000
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -163,6 +165,10 @@ class Scope:
                 return literal(self.compiler.params[x.name])
             case Typed():
                 return self.column(x.of).cast(x.type)
+            case Declared():
+                if (t := self.type_of(x.of)).simpleString() != x.type:
+                    raise Refused(Code.TYPE_MISMATCH, f"{x.of.name} is {t.simpleString()}, not {x.type}")
+                return self.column(x.of)
             case Apply():
                 return self._apply(x)
             case Case():
@@ -300,6 +306,8 @@ class Scope:
             case C.IsNull():
                 return self.column(c.of).isNull() if c.null else self.column(c.of).isNotNull()
             case C.IsIn():
+                if len(c.values) > LITERALS and all(isinstance(v, Value) for v in c.values):
+                    return self._in_many(c)
                 return self.column(c.of).isin(*map(self.column, c.values))
             case C.Like():
                 return self._like(c)
@@ -318,6 +326,14 @@ class Scope:
                 return found if c.there else ~found
         raise Refused(Code.UNKNOWN_NAME, type(c).__name__)
 
+    def _in_many(self, c: C.IsIn) -> Column:
+        """A long list as rows: a semi-join, broadcast up to BROADCAST_VALUES; null stays null, as of a list."""
+        values = list(dict.fromkeys(v.value for v in c.values))
+        rows = self.compiler.catalog.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("__v", self.type_of(c.of) or T.StringType())]))
+        rows = F.broadcast(rows) if len(values) <= BROADCAST_VALUES else rows
+        found = rows.where(F.col("__v") == self.outer_of(c.of)).select(F.lit(1).alias("one")).exists()
+        return F.when(self.column(c.of).isNotNull(), found)
+
     def _like(self, c: C.Like) -> Column:
         of, text = self.column(c.of), c.text
         if c.fold:
@@ -408,6 +424,9 @@ class Compiler:
     def query(self, q: Query, windows: bool = False, narrowed: DataFrame | None = None) -> Compiled:
         """``narrowed``: instead of the root's rows."""
         self.params |= dict(q.params)
+        for o in q.order:
+            if isinstance(o.by, Col) and o.by.table.entity is not None and o.by.table.treated is None and o.by.name not in self.rows(o.by.table).columns:
+                raise Refused(Code.UNKNOWN_SORT, o.by.name)
         scope = Scope(self, q.root, None, dict(q.join_filters), narrowed)
         plain = [x for i in q.items for x in ([i] if isinstance(i, Nested) else [bare(i)])]
         strong = [*plain, *(o.by for o in q.order), *(q.group or ())]
@@ -491,6 +510,8 @@ class Compiler:
         out = Scope.__new__(Scope)
         out.compiler, out.outer, out.filters, out.root, out.aliases, out.frame = self, None, {}, scope.root, {}, frame
         out.known = {k: F.col(n) for k, n in keys.items()} | {a: F.col(n) for a, n in wanted.items()}
+        for x in (x for i in q.items for x in walk(bare(i)) if isinstance(x, Blank)):
+            out.known[x] = F.lit(None).cast(self.rows(x.of.table.row).schema[x.of.name].dataType)
         if q.having_.terms:
             out.frame = out.frame.where(out.condition(q.having_))
         calls = dict.fromkeys(x for item in q.items for x in walk(bare(item)) if isinstance(x, Window))
@@ -564,8 +585,10 @@ class Compiler:
                 parts.append(-(c.cast("decimal(20,0)") if isinstance(t, _INTEGRAL) else c))
             elif isinstance(t, (T.DateType,)):
                 parts.append(-F.unix_date(c))
-            elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-                parts.append(-F.unix_micros(c.cast("timestamp")))
+            elif isinstance(t, T.TimestampType):
+                parts.append(-F.unix_micros(c))
+            elif isinstance(t, T.TimestampNTZType):
+                parts.append(literal(datetime.datetime(1970, 1, 1)) - c)  # an interval, which no zone's clock changes bend
             else:
                 plain = False
         if plain:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from skeinql.errors import Code, Refused
-from skeinql.functions.expr import Aggregate, Col, Correlated, Named, Order, Scalar, Value, Window, walk
+from skeinql.functions.expr import Aggregate, Blank, Col, Correlated, Named, Order, Scalar, Value, Window, walk
 from skeinql.plans.filters import All, Condition, ExistsPath, conditions
 from skeinql.plans.schema import Table
 
@@ -75,6 +75,9 @@ class Query:
     def without(self, *names: str) -> Query:
         return replace(self, items=tuple(i for i in self.items if output_name(i) not in names))
 
+    def contains(self, *names: str) -> bool:
+        return set(names) <= set(self.names)
+
     def only(self, *names: str) -> Query:
         return replace(self, items=tuple(i for i in self.items if output_name(i) in names))
 
@@ -85,6 +88,14 @@ class Query:
         """Rows in groups; without keys all rows are one."""
         return replace(self, group=(*(self.group or ()), *map(bare, keys)))
 
+    def grouped_by(self, *names: str) -> Query:
+        """Groups chosen at run time: by the named items; of the other items those that are no aggregate read null."""
+        by = {output_name(i): bare(i) for i in self.items if not any(isinstance(x, Aggregate) for x in expressions(i))}
+        if unknown := [n for n in names if n not in by]:
+            raise Refused(Code.UNKNOWN_NAME, f"{unknown} are no group keys")
+        items = tuple(Named(Blank(bare(i)), n) if (n := output_name(i)) in by and n not in names else i for i in self.items)
+        return replace(self, items=items, group=tuple(by[n] for n in names))
+
     def having(self, build: Callable) -> Query:
         return replace(self, having_=All((*self.having_.terms, *conditions(build).terms)))
 
@@ -92,12 +103,27 @@ class Query:
         return replace(self, order=(*self.order, *(o if isinstance(o, Order) else Order(o) for o in order)))
 
     def ordered_by(self, spec: list[tuple[str, str]]) -> Query:
-        """Order at run time: (name of an item, ``asc`` or ``desc``)."""
+        """Order at run time: (name of an item, or path to a column as ``customer.c_name``; ``asc`` or ``desc``)."""
         by = {output_name(i): bare(i) for i in self.items if not isinstance(i, Nested)}
+        order = []
         for name, way in spec:
-            if name not in by or way not in ("asc", "desc"):
+            of = by.get(name) or self._by_path(name)
+            if of is None or way not in ("asc", "desc"):
                 raise Refused(Code.UNKNOWN_SORT, f"{name} {way}")
-        return replace(self, order=tuple(Order(by[name], way == "desc") for name, way in spec))
+            order.append(Order(of, way == "desc"))
+        return replace(self, order=tuple(order))
+
+    def _by_path(self, path: str) -> Col | None:
+        """The column at the end of to-one relations; joins that the items have already are taken."""
+        *steps, name = path.split(".")
+        have = {t.path: t for c in columns(*self.items) for t in (c.table,)}
+        t = self.root
+        for i, step in enumerate(steps):
+            r = next((r for r in t.entity.relations if r.name == step), None) if t.entity else None
+            if r is None or r.many:
+                return None
+            t = have.get(".".join(steps[: i + 1])) or t.join(step)
+        return Col(t, name) if steps else None
 
     def join_filter(self, table: Table, build: Callable) -> Query:
         """More of a LEFT join's condition: rows that fail are as if not there, and blank the join's columns."""
@@ -118,8 +144,20 @@ class Query:
         return replace(self, customizer=function)
 
     def child(self, child: Any) -> Query:
+        """A nested array; a child named ``customer.orders`` is put into the nested ``customer``, as its plan."""
+        if any(c.name == child.name for c in self.children):
+            raise Refused(Code.PLAN_TWICE, child.name)
         return replace(self, children=(*self.children, child))
 
+    def join_plan(self, nested: str, *children: Any) -> Query:
+        """Children of a nested join: each ``parent_key`` names items of it."""
+        if nested not in [i.name for i in self.items if isinstance(i, Nested)]:
+            raise Refused(Code.UNKNOWN_NAME, f"no nested {nested}")
+        out = self
+        for c in children:
+            out = out.child(replace(c, name=f"{nested}.{c.name}", parent_key=tuple(f"{nested}.{k}" for k in c.parent_key)))
+        return out
+
     def enrich(self, enricher: Any) -> Query:
         return replace(self, enrichers=(*self.enrichers, enricher))
 
@@ -191,7 +229,7 @@ class Query:
 
 
 def _fits(x: Scalar, keys: tuple) -> bool:
-    if x in keys or isinstance(x, (Aggregate, Value)):
+    if x in keys or isinstance(x, (Aggregate, Value, Blank)):
         return True
     if isinstance(x, (Col, Correlated)):
         return False
@@ -212,31 +250,69 @@ def select_from(root: Table, *items: Any) -> Query:
 
 
 class FieldIndex:
-    """Names that a client asks for, dotted for nested ones, against a query's items."""
+    """Names that a client asks for against a query: items, dotted ones of nested items, sets of names, and children.
+
+    A nested item's name stands for all of it. ``filters``: further columns that filters may name, without being read.
+    """
 
-    def __init__(self, query: Query):
-        self.query = query
-        self.names = {}
+    def __init__(self, query: Query, filters: dict[str, Scalar] | None = None, sets: dict[str, list[str]] | None = None):
+        self.query, self.sets = query, {n: list(x) for n, x in (sets or {}).items()}
+        self.items = {}
         for i in query.items:
-            self.names[output_name(i)] = i
             if isinstance(i, Nested):
-                self.names |= {f"{i.name}.{output_name(x)}": (i, x) for x in i.items}
+                self.items |= {f"{i.name}.{output_name(x)}": x for x in i.items}
+                self.sets.setdefault(i.name, [f"{i.name}.{output_name(x)}" for x in i.items])
+            else:
+                self.items[output_name(i)] = i
+        self.children = {c.name: c for c in query.children}
+        self.filters = {n: bare(i) for n, i in self.items.items() if not isinstance(i, Nested)} | dict(filters or {})
 
-    def resolve(self, asked: str) -> tuple[list[str], list[str]]:
-        """(known names, unknown names) of a list as ``id,customer.name``."""
-        names = [n.strip() for n in asked.split(",") if n.strip()]
-        return [n for n in names if n in self.names], [n for n in names if n not in self.names]
+    @property
+    def names(self) -> list[str]:
+        """What ``resolve`` knows."""
+        return [*self.items, *self.sets, *self.children]
+
+    def filter(self, name: str) -> Scalar | None:
+        """The column or expression that a filter may name, if any."""
+        return self.filters.get(name)
+
+    def set(self, name: str) -> list[str] | None:
+        return self.sets.get(name)
+
+    def child(self, name: str) -> Any:
+        return self.children.get(name)
+
+    def resolve(self, asked: str | list[str]) -> tuple[list[str], list[str]]:
+        """(known names with sets spelled out, unknown names), each once, of a list as ``id,customer.name``."""
+        names = [n.strip() for n in asked.split(",") if n.strip()] if isinstance(asked, str) else list(asked)
+        known = [x for n in names for x in (self.sets[n] if n in self.sets and n not in self.items else [n]) if n in self.names]
+        return list(dict.fromkeys(known)), list(dict.fromkeys(n for n in names if n not in self.names))
+
+    def only(self, *names: str) -> FieldIndex:
+        """An index of just these names; sets lose what is not among them or in them, and may not end empty."""
+        if unknown := [n for n in names if n not in self.names and n not in self.filters]:
+            raise Refused(Code.UNKNOWN_NAME, f"{unknown} are not in the index")
+        items = {n for n in self.items if n in names or any(n in self.sets[s] for s in names if s in self.sets)}
+        out = FieldIndex.__new__(FieldIndex)
+        out.query, out.items = self.query, {n: i for n, i in self.items.items() if n in items}
+        out.sets = {n: [x for x in s if x in items] for n, s in self.sets.items() if n in names}
+        if empty := [n for n, s in out.sets.items() if not s]:
+            raise Refused(Code.UNKNOWN_NAME, f"{empty} would be empty")
+        out.children = {n: c for n, c in self.children.items() if n in names}
+        out.filters = {n: f for n, f in self.filters.items() if n in items or n in names}
+        return out
 
-    def select(self, asked: str) -> Query:
-        """The query with the known names that are asked for; a nested table's name stands for all of it."""
+    def select(self, asked: str | list[str]) -> Query:
+        """The query with the known names that are asked for, and of its children those."""
         known, _ = self.resolve(asked)
         items: list = []
         for i in self.query.items:
-            if output_name(i) in known:
+            if isinstance(i, Nested):
+                if inner := tuple(x for x in i.items if f"{i.name}.{output_name(x)}" in known):
+                    items.append(replace(i, items=inner))
+            elif output_name(i) in known:
                 items.append(i)
-            elif isinstance(i, Nested) and (inner := tuple(x for x in i.items if f"{i.name}.{output_name(x)}" in known)):
-                items.append(replace(i, items=inner))
-        return replace(self.query, items=tuple(items))
+        return replace(self.query, items=tuple(items), children=tuple(c for c in self.query.children if c.name in known))
 
 
 class Source:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING, Any
 
 from skeinql.errors import Code, Refused
@@ -125,6 +125,12 @@ class Table:
             raise Refused(Code.SOURCE_NOT_UNIQUE, f"{name} is joined on its whole key {e.key}")
         return Table(schema=schema, entity=e, parent=self, way="entity", kind=kind, alias=alias or name, pairs=tuple(sorted(on.items())), when=tuple((when or {}).items()))
 
+    def within(self, join: Table) -> Table:
+        """A source's or entity's join as a part of ``join``: its columns are null where that finds no row."""
+        if self.way not in ("source", "entity") or join.root.identity != self.root.identity:
+            raise Refused(Code.UNKNOWN_NAME, "only a source or an entity is joined within another join of the query")
+        return replace(self, parent=join)
+
     def treat(self, subtype: str) -> Table:
         """The same rows; columns are null where a row is of another subtype."""
         self.entity.values(subtype)

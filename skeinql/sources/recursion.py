@@ -1,32 +1,33 @@
 """Recursive sources: one join a level, until a level is empty.
 
-Every level is kept (checkpointed if the session names a checkpoint folder, else persisted), so that a walk of d levels
-costs d joins and its lineage doesn't grow.
+A walk runs when its source is compiled: each level is one job that joins the rows below the last level and writes them
+to a table partitioned by level, so that a walk of d levels costs d joins, no lineage grows and nothing is held in memory.
 """
 
 from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skeinql.errors import Code
+from skeinql.sources.scratch import folder
 
 if TYPE_CHECKING:
     from skeinql.plans.compiler import Compiler
     from skeinql.plans.query import Source
 
+#: Rows of a level up to which it is broadcast to the links; the walk knows each level's size.
+BROADCAST_LEVEL = 100_000
+
 
 def _key(fields: tuple[str, ...], side: str) -> Column:
     return F.struct(*(F.col(f"{side}.`{f}`") for f in fields))
 
 
-def _kept(level: DataFrame, can_cut: bool) -> DataFrame:
-    return level.checkpoint() if can_cut else level.persist()
-
-
 def _refuse(when: Column, code: Code, why: str) -> Column:
     return F.when(when, F.raise_error(F.lit(f"{code.value} {code.name}: {why}")).cast("int")).otherwise(F.lit(0))
 
@@ -39,32 +40,33 @@ def walked(compiler: Compiler, s: Source) -> DataFrame:
     """
     r = s.recursion
     depth = r.depth or "__depth"
-    seeds = compiler.query(s.query).visible()
-    links = compiler.query(r.links).visible()
     names = s.query.names
     spark = compiler.catalog.spark
-    can_cut = bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
-    if can_cut and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    path = folder(spark, f"walk-{s.name}")
+    links = compiler.query(r.links).visible()
+
+    def kept(level: DataFrame, d: int) -> tuple[DataFrame, int]:
+        seen = Observation()
+        at = f"{path}/__level={d}"
+        level.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        return spark.read.schema(level.schema).parquet(at), seen.get["n"]
 
-    level = seeds.alias("s").select(*(F.col(f"s.`{n}`") for n in names), F.array(_key(r.child, "s")).alias("__path"), F.lit(False).alias("__cycle"))
-    level = _kept(level, can_cut)
-    levels = [level.withColumn(depth, F.lit(0).cast("long"))]
+    seeds = compiler.query(s.query).visible().alias("s")
+    level, n = kept(seeds.select(*(F.col(f"s.`{x}`") for x in names), F.array(_key(r.child, "s")).alias("__path"), F.lit(False).alias("__cycle")), 0)
+    schema = T.StructType([*level.schema.fields, T.StructField("__level", T.LongType())])
     for d in range(1, r.max_depth + 2):
-        above = level.where(~F.col("__cycle")).alias("a")
+        if not n:
+            break
+        above = level.where(~F.col("__cycle")).select(*r.child, "__path").alias("a")
         on = None
         for p, c in zip(r.parent, r.child, strict=True):
             term = F.col(f"l.`{p}`") == F.col(f"a.`{c}`")
             on = term if on is None else on & term
         own = F.struct(*(F.col(f"l.`{c}`") for c in r.child))
-        level = links.alias("l").join(above, on).select(*(F.col(f"l.`{n}`") for n in names), F.concat(F.col("a.__path"), F.array(own)).alias("__path"), F.array_contains(F.col("a.__path"), own).alias("__cycle"))
-        level = _kept(level, can_cut)
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn(depth, F.lit(d).cast("long")))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionAll(x)
+        below = links.alias("l").join(F.broadcast(above) if n <= BROADCAST_LEVEL else above, on)
+        below = below.select(*(F.col(f"l.`{x}`") for x in names), F.concat(F.col("a.__path"), F.array(own)).alias("__path"), F.array_contains(F.col("a.__path"), own).alias("__cycle"))
+        level, n = kept(below, d)
+    out = spark.read.schema(schema).parquet(path).withColumnRenamed("__level", depth)
     checks = _refuse(F.col("__cycle"), Code.CYCLE, s.name) + _refuse(F.col(depth) > r.max_depth, Code.TOO_DEEP, f"{s.name} beyond {r.max_depth}")
     if r.tree:
         out = out.withColumn("__times", F.count(F.lit(1)).over(Window.partitionBy(*r.child)))
