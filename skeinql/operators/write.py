@@ -260,14 +260,16 @@ class Writer:
 
         The rows are chosen once, from the table as it is when the first step begins. ``catalog.frames`` is set to what
         a step leaves: the table with the write on all keys so far, so that its plan is the same after each step. With
-        ``commit`` each step's table is written, in the folder that executors share, and read from there.
+        ``commit`` each step's table is written, in the folder that executors share, and read from there; the affected rows
+        of a step can be read until the next one is done.
         """
         w._checked()
         if len(w.root.key) != 1:
             raise Refused(Code.NEEDS_KEY, "chunks need a key of one column")
         if size < 1:
             raise Refused(Code.PAGE_SIZE, str(size))
-        key, last, name, place = w.root.key[0], start_after, w.root.entity.name, None
+        key, last, name = w.root.key[0], start_after, w.root.entity.name
+        places: list[str] = []
         first = now = self.catalog.frame(name)
         while True:
             self.catalog.frames[name] = first
@@ -289,10 +291,10 @@ class Writer:
             affected = self._written(replace(w, condition=All(()), keys=tuple((k,) for k in keys), everything=False)).affected
             now = self._written(w.where(upto)).after
             if commit:
-                before, place = place, folder(self.catalog.spark, f"{name}-step")
-                first = now = stored(now, place)
-                if before is not None:
-                    remove(self.catalog.spark, before)
+                places.append(folder(self.catalog.spark, f"{name}-step"))
+                first = now = stored(now, places[-1])
+                if len(places) > 2:  # the table before this step is what its affected rows are read from
+                    remove(self.catalog.spark, places.pop(0))
             self.catalog.frames[name] = now
             yield last, Written(now, affected)
 

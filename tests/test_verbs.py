@@ -4,9 +4,10 @@ import pytest
 
 from skeinql.declare import Converter, aggregate, children, column, computed, group_key, model, nested
 from skeinql.errors import Code, Refused
-from skeinql.functions.expr import Agg, concat, plus
+from skeinql.functions.expr import Agg, concat, param, plus
 from skeinql.inspection import filters_of, filters_on, joins_of
-from skeinql.operators.engine import KeyGroups
+from skeinql.operators import write
+from skeinql.operators.engine import KeyGroups, Page
 from skeinql.operators.fetch import Enricher, child
 from skeinql.operators.write import Conflict, Delete, Insert, Update, Writer
 from skeinql.plans.query import select_from
@@ -256,6 +257,88 @@ def test_key_groups_prune_partitions(spark, tmp_path):
     assert filters_of(KeyGroups(t["month"], lambda k: k // 10, most=1).narrowed(q, [(42,), (7,)])) == [("gte", "month", 0), ("lte", "month", 4)]
 
 
+def test_a_page_reads_its_own_children_only(spark):
+    e = engine(spark)
+    lines = child("lines", O, "items", lambda t: [t["code"]], "id", lambda t: [t["price"].desc()], most=3)
+    q = Q.child(lines)
+    plan = e.frame(q, limit=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")  # a plan's text goes from the result down: the semi-join is below the window
+    assert [len(r["lines"]) for r in e.page(q, 1, 4).items] == [3, 3, 0, 3]  # order 15 has none
+    assert "LeftSemi" not in e.frame(q)._jdf.queryExecution().optimizedPlan().toString()  # all rows' children need none
+    assert [r["id"] for r in e.page(q, 0, 40).items] == [r["id"] for r in e.list(Q)]  # in the page's order, children or not
+
+
+def test_key_groups_in_rounds(spark, tmp_path):
+    schema = Schema(Entity("parted", ("id",)))
+    t = schema.root("parted")
+    e = engine(spark, parted=spark.range(60).selectExpr("id", "cast(id div 10 as int) as month"))
+    q = select_from(t, t["id"]).where(lambda f: f.compare(t["month"], "eq", param("month")))
+    right = KeyGroups.by(lambda k: k // 10).bind("month", lambda g: g)
+    assert list(e.by_keys(q, [42, 7, 999, 41], right.assume_in_range())) == [42, 7, 41]
+    wrong = KeyGroups.by(lambda k: 0, t["month"])
+    plain = select_from(t, t["id"])
+    assert list(e.by_keys(plain, [42, 7], wrong.assume_in_range())) == [7] and list(e.by_keys(plain, [42, 7], wrong.verify_missing())) == [42, 7]
+    assert [len(ks) for _, ks in right.rounds(q, [(42,), (7,), (41,)])] == [2, 1]
+    seen = []
+    ruled = right.group_when(lambda keys, groups: seen.append((keys, groups)), 4)
+    assert list(e.by_keys(q, [42, 7, 41], ruled)) == [42, 41] and seen == [(3, 2)]
+
+
+def test_chunks_keep_their_plan_small(spark, tmp_path):
+    e = engine(spark)
+    up = Update(O).set("status", "X").where(lambda f: f.ne(O["status"], "NEW"))
+    sizes, w = [], Writer(e)
+    for _, out in w.chunks(up, 3):
+        sizes.append(len(out.after._jdf.queryExecution().optimizedPlan().toString()))
+    assert len(sizes) == 10 and max(sizes) < 1.3 * min(sizes)
+    assert e.count(Q.where(lambda f: f.eq(O["status"], "X"))) == 30
+    e = engine(spark)
+    steps = list(Writer(e).chunks(up, 7, commit=True))
+    assert sum(out.affected.count() for _, out in steps[-1:]) == 2 and e.count(Q.where(lambda f: f.eq(O["status"], "X"))) == 30
+    assert "parquet" in e.catalog.frame("orders")._jdf.queryExecution().toString().lower()
+
+
+def test_first_by_does_not_bend_with_a_zone(spark):
+    e = engine(spark, groups=spark.sql("SELECT * FROM VALUES (1L, 1, timestamp_ntz'2024-03-10 02:30:00', 'lost hour'), (2L, 1, timestamp_ntz'2024-03-10 03:15:00', 'later') AS t(id, g, k, v)"))
+    t = SCHEMA.root("groups")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert e.list(select_from(t, Agg.first_by(t["v"], t["k"].desc()).named("v")).group_by(t["g"]))[0]["v"] == "later"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_an_inline_count_is_of_the_same_pass(spark):
+    e = engine(spark)
+    reads = []
+    e.compiled = lambda q, narrowed=None, f=e.compiled: (reads.append(q), f(q, narrowed))[1]
+    assert e.page(Q, 35, 10, "inline_count").total == 40 and len(reads) == 1
+    assert e.page(Q, 90, 10, "inline_count") == Page([], 40, False)
+
+
+def test_upserts_broadcast_few_rows(spark):
+    e = engine(spark)
+    rows = ({"id": 1, "name": "one"}, {"id": 50, "name": "fifty"})
+    up = Insert(C, rows=rows).on_conflict(Conflict(("id",)).set_from_row("name"))
+    got = Writer(e).insert(up)
+    assert "FullOuter" not in got.after._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(str, got.after.collect()))
+    write.BROADCAST_ROWS, kept = 0, write.BROADCAST_ROWS
+    try:
+        other = Writer(e).insert(up)
+        assert "FullOuter" in other.after._jdf.queryExecution().optimizedPlan().toString() and sorted(map(str, other.after.collect())) == want
+    finally:
+        write.BROADCAST_ROWS = kept
+
+
+def test_long_lists_keep_the_meaning_of_null(spark):
+    e = engine(spark)
+    many = [*range(2, 2000, 2), 3]
+    for build in (lambda f, v: f.is_in(S["n"], v), lambda f, v: f.not_in(S["n"], v), lambda f, v: f.not_(lambda g: g.is_in(S["n"], v))):
+        got, want = ([r["id"] for r in e.list(select_from(S, S["id"]).where(lambda f, v=v: build(f, v)).order_by(S["id"].asc()))] for v in (many, [2, 3]))
+        assert got == want and got
+
+
 def test_inspection():
     q = Q.where(lambda f: f.ne(O["status"], "NEW").or_(lambda g: g.gt(O["total"], 5), lambda g: g.eq(O.join("customer")["name"], "x")))
     assert filters_of(q) == [("or", ("ne", "status", "NEW"), ("is_null", "status")), ("or", ("gt", "total", 5), ("eq", "customer.name", "x"))]
