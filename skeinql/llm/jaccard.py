@@ -1,33 +1,42 @@
 """Similarity join on five-word shingles: every link with Jaccard >= 0.75, as classes of linked documents.
 
-1. One pass over the texts makes each document's shingle set (64-bit hashes), a 128-bit digest of the set, and the
-   keys of BANDS min-hash bands. Equal sets are one representative from here on.
-2. Representatives that share a band key meet in size-banded tiles: a tile holds sizes of one band and of the next,
-   as sizes further apart cannot reach the threshold; tiles over TILE rows are dealt again by a salt. There, hashed
-   bitmaps bound the overlap from above. What passes gives only a spanning forest of each tile, never its pairs.
-3. The families that those forests tie together hold every link, as the bound never falls short. Each family is tiled
+1. A pass over the texts counts shingles in a sketch of CELLS cells, which only orders them: common ones last.
+2. A second pass makes each document's shingle set (64-bit hashes), a 128-bit digest of the set, and its first shingles
+   in that order: so many that two sets that reach the threshold have one of them in common, whatever they are. Equal
+   sets are one representative from here on.
+3. Representatives that share such a shingle meet in size-banded tiles: a tile holds sizes of one band and of the next,
+   as sizes further apart cannot reach the threshold. There, hashed bitmaps bound the overlap from above. What passes
+   gives only a spanning forest of each tile, never its pairs.
+4. The families that those forests tie together hold every link, as the bound never falls short. Each family is tiled
    in the same way; there the sorted hash arrays of pairs that pass the bound are intersected exactly.
 
-A pair of similarity 0.75 shares no band with probability (1 - 0.75**3)**BANDS = 4.6e-14.
+Groups over TILE rows are not tiled as they are. Their rows first meet one pivot each, in pieces; those that pass are a
+star, and two members of one star need not meet. Then the largest star's rows, in blocks, meet all other rows, and
+these each other. A group of g near copies with r others so costs g + r * g / TILE rows, not g * g.
+
+A null or empty text has no shingles and is linked with nothing. Texts of any length are read whole. Rows with one
+doc_id are one document, linked with what any of their texts is linked with; rows without a doc_id stand alone. A table
+without rows gives one. Only doc_id and text are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinql.llm.graph import components
-from skeinql.llm.shared import discard, fresh, shuffled, slices, small_or_shuffled, written
+from skeinql.llm.shared import BROADCAST_ROWS, discard, fresh, shuffled, slices, small_or_shuffled, written
 
 WIDTH, PERCENT = 5, 75
-BANDS, ROWS = 56, 3
-#: Rows of a tile, and shingles of its rows together, beyond which its documents are dealt to several tiles.
-TILE, TILE_SHINGLES = 1024, 2_000_000
+#: Cells of the sketch; a cell is common from COMMON times the mean count on, and from COMMON * FEW counts on.
+CELLS, COMMON, FEW = 1 << 18, 4, 16
+#: Rows of a tile, and shingles of its rows together, beyond which a group is hot; rounds of stars in a hot group.
+TILE, TILE_SHINGLES, ROUNDS = 1024, 2_000_000, 4
 CACHE = 300_000
 _M = np.uint64
 
@@ -59,23 +68,22 @@ def shingle_set(text: bytes | None, cache: dict, width: int = WIDTH) -> np.ndarr
     return np.unique(s)
 
 
-@lru_cache(1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240501)
-    return (r.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)), r.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+def common_classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each cell: 0, or the more the commoner, doubling by doubling."""
+    mean = max(counts.sum() / len(counts), FEW)
+    return np.clip(np.log2(np.maximum(counts, 1) / mean).astype(np.int64) - int(np.log2(COMMON)) + 1, 0, 31).astype(np.uint8)
+
 
+def prefix(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order (by class, then hash), and how many of them are of class 0.
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    times, flip = _permutations()
-    low = (s >> _M(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 4096):
-        np.minimum(least, ((low[at : at + 4096, None] ^ flip) * times).min(0), out=least)
-    m = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) + _M(1)
-    for i in range(ROWS):
-        key = _mixed(key * _M(0x9E3779B97F4A7C15) + m[:, i])
-    return key
+    A link of sets of x <= y shingles has an overlap of 3/7 (x + y) at least, so of 3/4 y and of 6/7 x: one of the first
+    y - ceil(3/4 y) + 1 of the larger is among the first x - ceil(6/7 x) + 1 of the smaller.
+    """
+    n = len(s)
+    c = classes[(s & _M(len(classes) - 1)).astype(np.int64)]
+    first = np.argsort((c.astype(np.uint64) << _M(58)) | (s >> _M(6)), kind="stable")[: n - (3 * n + 3) // 4 + 1]
+    return s[first], int((c[first] == 0).sum())
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -111,19 +119,31 @@ def passing(n: np.ndarray, bits: np.ndarray, size: np.ndarray, own: np.ndarray,
     return ((100 + PERCENT) * most >= PERCENT * (x + y)) & (own[rows, None] | own[None, columns])
 
 
-def forest(n: np.ndarray, bits: np.ndarray, own: np.ndarray, confirm=None) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, bits: np.ndarray, own: np.ndarray, confirm=None, star: np.ndarray | None = None, main: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a tile's pairs that pass, and that ``confirm(i, j)`` confirms.
 
     A search from place to place: each place meets only those that no tree has yet, so copies of one text cost few
-    comparisons, and pairs within a tree none.
+    comparisons, and pairs within a tree none. Places of one ``star`` are in one tree from the start; with ``main``,
+    only pairs of a main place and another one are of interest.
     """
     found, left, size = [], np.arange(len(n)), np.bitwise_count(bits).sum(1, dtype=np.int64)
+
+    def with_stars(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``left``, the places ``new`` (a mask) with all of their stars, and the others."""
+        if star is not None:
+            new = np.isin(star[left], star[left[new]])
+        return left[new], left[~new]
+
     while len(left):
-        front, left = left[:1], left[1:]
+        start = np.zeros(len(left), bool)
+        start[0] = True
+        front, left = with_stars(start)
         while len(front) and len(left):
             step = max(1, min(64, 1_000_000 // (len(left) * bits.shape[1])))
             rows, front = front[:step], front[step:]
             ok = passing(n, bits, size, own, rows, left)
+            if main is not None:
+                ok &= main[rows, None] ^ main[None, left]
             if confirm is not None:
                 for c in np.flatnonzero(ok.any(0)):
                     true = next((r for r in np.flatnonzero(ok[:, c]) if confirm(rows[r], left[c])), None)
@@ -132,7 +152,8 @@ def forest(n: np.ndarray, bits: np.ndarray, own: np.ndarray, confirm=None) -> li
                         ok[true, c] = True
             hit = ok.any(0)
             found += zip(rows[ok[:, hit].argmax(0)].tolist(), left[hit].tolist(), strict=True)
-            front, left = np.concatenate([front, left[hit]]), left[~hit]
+            new, left = with_stars(hit)
+            front = np.concatenate([front, new])
     return found
 
 
@@ -143,75 +164,189 @@ def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([int(ids[i]) for i, _ in found], pa.int64()), pa.array([int(ids[j]) for _, j in found], pa.int64())], schema=_EDGES)
 
 
-def _sorted_tile(t: pa.Table):
-    ids, n = t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-    order = np.lexsort((ids, n))
-    return order, ids[order], n[order], t["own"].to_numpy(zero_copy_only=False).astype(bool)[order]
+class _Rows:
+    """Rows of a tile by size: ids, sizes, bitmaps and, for exact tests, the sets."""
+
+    def __init__(self, t: pa.Table):
+        ids, n = t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+        order = np.lexsort((ids, n))
+        self.t, self.order, self.ids, self.n = t, order, ids[order], n[order]
+        self.own = self.flag("own")
+
+    def flag(self, name: str) -> np.ndarray:
+        return self.t[name].to_numpy(zero_copy_only=False).astype(bool)[self.order]
+
+    def compare(self) -> tuple[np.ndarray, object]:
+        """Bitmaps of one width, and the exact test if the rows hold their sets."""
+        if "hashes" not in self.t.column_names:
+            maps = [np.frombuffer(x, np.uint64) for x in self.t["bits"].to_pylist()]
+            words = min(map(len, maps))
+            return np.stack([folded(maps[i], words) for i in self.order]), None
+        sets = self.t["hashes"].to_pylist()
+        sets = [np.frombuffer(sets[i], np.uint64) for i in self.order]
+
+        def linked(i: int, j: int) -> bool:
+            x, y = sets[i], sets[j]
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            common = int((y[at] == x).sum())
+            return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+        return np.stack([bitmap(s, bits_for(int(self.n[0]))) for s in sets]), linked
+
+
+def _tile(t: pa.Table) -> pa.Table:
+    """A spanning forest of the pairs of a tile that pass the bound and, if sets are there, are linked."""
+    rows = _Rows(t)
+    if len(rows.ids) < 2 or not rows.own.any():
+        return _edges(rows.ids, [])
+    bits, confirm = rows.compare()
+    return _edges(rows.ids, forest(rows.n, bits, rows.own, confirm))
+
+
+_STARS = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("star", pa.int64())])
+
 
+def _star(t: pa.Table) -> pa.Table:
+    """The rows of a piece that pass with its pivot, which is one of its rows."""
+    rows = _Rows(t)
+    pivot = np.flatnonzero(rows.flag("pivot"))
+    if not len(pivot):
+        return _STARS.empty_table()
+    bits, confirm = rows.compare()
+    others = np.flatnonzero(~rows.flag("pivot"))
+    ok = passing(rows.n, bits, np.bitwise_count(bits).sum(1, dtype=np.int64), rows.own, pivot[:1], others)[0]
+    hit = [i for i in others[ok] if confirm is None or confirm(pivot[0], i)]
+    return pa.table([np.full(len(hit), t["group"][0].as_py(), np.int64), rows.ids[hit], np.full(len(hit), rows.ids[pivot[0]], np.int64)], schema=_STARS)
 
-def _bound_tile(t: pa.Table) -> pa.Table:
-    """A spanning forest of the pairs of a tile that pass the bitmap bound."""
-    order, ids, n, own = _sorted_tile(t)
-    if len(ids) < 2 or not own.any():
-        return _edges(ids, [])
-    maps = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
-    words = min(map(len, maps))
-    return _edges(ids, forest(n, np.stack([folded(maps[i], words) for i in order]), own))
 
+def _dealt(t: pa.Table) -> pa.Table:
+    """As ``_tile``, of rows in stars; in a block of a main star, other rows meet its rows only."""
+    rows = _Rows(t)
+    if len(rows.ids) < 2 or not rows.own.any():
+        return _edges(rows.ids, [])
+    bits, confirm = rows.compare()
+    main = rows.flag("main")
+    return _edges(rows.ids, forest(rows.n, bits, rows.own, confirm, t["star"].to_numpy()[rows.order], main if main.any() else None))
 
-def _exact_tile(t: pa.Table) -> pa.Table:
-    """A spanning forest of the true links of a tile: bitmap bound, then sorted-array intersection."""
-    order, ids, n, own = _sorted_tile(t)
-    if len(ids) < 2 or not own.any():
-        return _edges(ids, [])
-    sets = t["hashes"].to_pylist()
-    sets = [np.frombuffer(sets[i], np.uint64) for i in order]
-    bits = np.stack([bitmap(s, bits_for(int(n[0]))) for s in sets])
 
-    def linked(i: int, j: int) -> bool:
-        x, y = sets[i], sets[j]
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        common = int((y[at] == x).sum())
-        return 100 * common >= PERCENT * (len(x) + len(y) - common)
+def _banded(rows: DataFrame) -> DataFrame:
+    """Each row in the tile of its own size band (``own``) and in that of the band below; ``low`` is the tile's band."""
+    rows = rows.withColumn("band", band_of(F.col("n"))).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    return rows.withColumn("low", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1)).drop("band")
 
-    return _edges(ids, forest(n, bits, own, linked))
 
+def _parts(rows, work):
+    return F.ceil(F.greatest(rows / TILE, work / TILE_SHINGLES)).cast("int")
 
-def _tiles(rows: DataFrame, key: str, sizes_join=shuffled) -> DataFrame:
-    """Rows (key, doc_id, n) dealt to size-banded tiles: adds tile (long) and own (the tile's own size band).
 
-    A tile that exceeds TILE rows, or TILE_SHINGLES, is dealt again: each document gets a salt and goes to the tiles of its salt
-    with every other one, so that every pair still meets, at least once.
+def _linked(rows: DataFrame, key: str, sets: DataFrame, on: list[str]) -> DataFrame:
+    """Edges (u, v) that tie together what passes within the groups of ``rows`` (key, doc_id, n, early).
+
+    ``sets`` has the rows' bitmaps or hashes by ``on``. A group that none but late shingles share has no link.
     """
-    rows = rows.withColumn("band", band_of(F.col("n")))
-    rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("low", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") - 1))
-    sizes = rows.groupBy(key, "low").agg(F.count("*").alias("g"), F.count(F.when(F.col("own"), 1)).alias("mine"), F.sum("n").alias("work"))
-    sizes = sizes.where("g > 1 and mine > 0").select(key, "low", F.ceil(F.greatest(F.col("g") / TILE, F.col("work") / TILE_SHINGLES)).cast("int").alias("salts"))
-    rows = rows.join(sizes_join(sizes), [key, "low"])
+    rows = _banded(rows)
+    sizes = rows.groupBy(key, "low").agg(F.count("*").alias("g"), F.count(F.when(F.col("own"), 1)).alias("mine"), F.count(F.when(F.col("early"), 1)).alias("heads"), F.sum("n").alias("work"))
+    sizes = written(sizes.where("g > 1 and mine > 0 and heads > 0").select(key, "low", _parts(F.col("g"), F.col("work")).alias("parts")), "sizes")
+    rows = rows.drop("early")
+    hot, cold = sizes.where("parts > 1"), sizes.where("parts = 1").select(key, "low")
+    some = hot.limit(BROADCAST_ROWS + 1).count()
+    held = F.broadcast(hot) if some <= BROADCAST_ROWS else hot  # one row a hot group
+    calm = rows.join(held.select(key, "low"), [key, "low"], "left_anti") if some else rows
+    tiles = calm.join(shuffled(cold), [key, "low"], "left_semi").withColumn("tile", F.xxhash64(key, "low")).drop(key, "low")
+    edges = tiles.join(sets, on).groupBy("tile").applyInArrow(_tile, "u long, v long")
+    if not some:
+        return edges
+    rows = rows.join(held, [key, "low"]).withColumn("group", F.xxhash64(key, "low")).select("group", "doc_id", "n", "own", "parts")
+    return edges.unionByName(_hot_edges(written(rows, "hot-rows"), sets, on))
+
+
+def _hot_edges(rows: DataFrame, sets: DataFrame, on: list[str]) -> DataFrame:
+    """``_linked`` for rows (group, doc_id, n, own, parts) of groups that are too large for a tile."""
+    left, stars = rows, []
+    for _ in range(ROUNDS):
+        pivots = left.where("own").groupBy("group").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id")).alias("p"), F.max("parts").alias("parts"))
+        pivots = pivots.select("group", "p.*", F.lit(True).alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), F.lit(True).alias("pivot"))
+        pieces = left.select("group", "doc_id", "n", "own", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts")).cast("int").alias("piece"), F.lit(False).alias("pivot"))
+        found = pieces.unionByName(pivots).join(sets, on).groupBy("group", "piece").applyInArrow(_star, "group long, doc_id long, star long")
+        stars.append(written(found.distinct(), "stars"))
+        left = written(left.join(shuffled(stars[-1].select("group", "doc_id")), ["group", "doc_id"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    stars = reduce(DataFrame.unionByName, stars)
+    rows = rows.join(shuffled(stars.groupBy("group", "doc_id").agg(F.min("star").alias("star"))), ["group", "doc_id"], "left").withColumn("star", F.coalesce("star", "doc_id"))
+    rows = written(rows, "starred")
+    sizes = rows.groupBy("group", "star").agg(F.count("*").alias("a"), F.sum("n").alias("w"))
+    sizes = sizes.groupBy("group").agg(F.max_by(F.struct("star", "a", "w"), F.struct("a", "star")).alias("m"), F.sum("a").alias("g"), F.sum("w").alias("work"))
+    sizes = sizes.where("g > m.a").select("group", F.col("m.star").alias("main_star"), _parts(F.col("m.a"), F.col("m.w")).alias("blocks"), _parts(F.col("g") - F.col("m.a"), F.col("work") - F.col("m.w")).alias("salts"))
+    rows = rows.drop("parts").join(small_or_shuffled(written(sizes, "main-stars")), "group").withColumn("main", F.col("star") == F.col("main_star"))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("salts")).cast("int")
-    rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    return rows.withColumn("tile", F.xxhash64(key, "low", F.least("salt", "other"), F.greatest("salt", "other"))).drop("band", "low", "salts", "salt", "other")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
+
+    def place(kind: int, a, b):
+        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    zero = F.lit(0)
+    others = F.concat(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: place(0, i, zero)), F.transform(F.sequence(zero, F.col("salts") - 1), lambda i: place(1, F.least(salt, i), F.greatest(salt, i))))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("main"), F.array(place(0, block, zero))).otherwise(others))).drop("main_star", "blocks", "salts")
+    met = rows.join(sets, on).groupBy("group", "place").applyInArrow(_dealt, "u long, v long")
+    return met.unionByName(stars.where("doc_id <> star").select(F.col("doc_id").alias("u"), F.col("star").alias("v")))
+
+
+def _counted(batches, width: int):
+    cache, counts, waiting, size = _WordHash(), np.zeros(CELLS, np.int64), [], 0
+
+    def settle() -> None:
+        nonlocal size
+        if waiting:
+            counts.__iadd__(np.bincount(np.concatenate(waiting), minlength=CELLS))
+        waiting.clear()
+        size = 0
+
+    for b in slices(batches):
+        for text in b.column(0).to_pylist():
+            s = shingle_set(text, cache, width)
+            waiting.append((s & _M(CELLS - 1)).astype(np.int64))
+            size += len(s)
+            if size > CELLS:
+                settle()
+    settle()
+    (at,) = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+
+
+def shingle_classes(texts: DataFrame, width: int) -> np.ndarray:
+    """Class of each cell of the sketch, over all rows of ``texts``: tasks' sketches are summed before they are fetched."""
+    rows = texts.select("text").mapInArrow(lambda b: _counted(b, width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    counts = np.zeros(CELLS, np.int64)
+    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return common_classes(counts)
 
 
-def _sets(batches, width: int):
+def _sets(batches, width: int, classes: np.ndarray):
     cache = _WordHash()
     for b in slices(batches):
-        ids, n, digest, keys = b.column(0), [], [], []
+        ids, n, digest, keys, light = b.column(0), [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, cache, width)
+            first, plain = prefix(s, classes) if len(s) else (s, 0)
             n.append(len(s))
+            light.append(plain)
             digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-            keys.append(band_keys(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n", "digest", "keys"])
+            keys.append(first.tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary()), pa.array(light, pa.int32())], ["doc_id", "n", "digest", "keys", "light"])
 
 
 def _keyed(batches):
+    """(key, doc_id, code) for each shingle of a prefix; code: size * 4 + 2 if it is early enough for a smaller set + 1 if it is common."""
     for b in slices(batches):
         keys = b.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))], ["key", "doc_id", "n"]
-        )
+        count = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
+        n, light = b.column(1).to_numpy(), b.column(3).to_numpy()
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        early = place < np.repeat(n - (6 * n + 6) // 7 + 1, count)
+        code = np.repeat(n * 4, count) + 2 * early + (place >= np.repeat(light, count))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(code)], ["key", "doc_id", "code"])
 
 
 def _arrays(batches, width: int):
@@ -227,35 +362,33 @@ def _arrays(batches, width: int):
 def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs`` (doc_id long, text string; others unread).
 
-    n_shingles is 0 for a null or empty text, which is linked with nothing. component_id is the least doc_id that
-    links reach. Rows with one doc_id are one document, linked with what any of their texts is linked with; rows
-    without a doc_id get their n_shingles and a null component_id. An empty table gives an empty result.
+    n_shingles is 0 for a null or empty text; component_id is the least doc_id that links reach, null for rows without
+    a doc_id.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = written(texts.mapInArrow(lambda b: _sets(b, width), "doc_id long, n long, digest binary, keys binary"), "sets")
+    classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(texts, width))  # CELLS bytes
+    sets = written(texts.mapInArrow(lambda b: _sets(b, width, classes.value), "doc_id long, n long, digest binary, keys binary, light int"), "sets")
     valid = sets.where("doc_id is not null and n > 0")
-    reps = written(valid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("digest", "r.*"), "representatives")
+    reps = written(valid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "light")).alias("r")).select("digest", "r.*"), "representatives")
 
-    keyed = reps.select("doc_id", "n", "keys").mapInArrow(_keyed, "key long, doc_id long, n long")
-    shared = written(keyed.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    keyed = written(keyed.join(shuffled(shared), "key"), "band-rows")
+    keyed = reps.select("doc_id", "n", "keys", "light").mapInArrow(_keyed, "key long, doc_id long, code long")
+    # what the sketch calls common is shared, and may be by very many: only the others are gathered by shingle
+    rare = keyed.where("code & 1 = 0").withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1").drop("shared")
+    keyed = rare.unionByName(keyed.where("code & 1 = 1")).select("key", "doc_id", F.expr("code div 4").alias("n"), F.expr("code & 2 = 2").alias("early"))
+    keyed = written(keyed, "prefixes")
     active = written(keyed.select("doc_id").distinct(), "active")
     near = texts.join(shuffled(active), "doc_id", "left_semi").mapInArrow(lambda b: _arrays(b, width), "doc_id long, n long, hashes binary, bits binary")
     near = written(near, "arrays")
 
-    tiles = _tiles(keyed, "key").join(near.select("doc_id", "bits"), "doc_id")
-    bound = tiles.groupBy("tile").applyInArrow(_bound_tile, "u long, v long")
-    families = written(components(bound), "families")
-
-    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(near.select("doc_id", "n").distinct(), "doc_id")
-    dealt = _tiles(members, "family", small_or_shuffled).select("doc_id", "n", "own", "tile").join(near.select("doc_id", "n", "hashes"), ["doc_id", "n"])
-    exact = dealt.groupBy("tile").applyInArrow(_exact_tile, "u long, v long")
+    families = written(components(_linked(keyed, "key", near.select("doc_id", "bits"), ["doc_id"])), "families")
+    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(near.select("doc_id", "n").distinct(), "doc_id").withColumn("early", F.lit(True))
+    exact = _linked(members, "family", near.select("doc_id", "n", "hashes"), ["doc_id", "n"])
 
     twins = valid.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").select("doc_id", "rep")
     several = twins.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v")
     several = several.select("doc_id", "v").join(twins, "doc_id").select(F.col("rep").alias("u"), "v")
     linked = written(components(exact.unionByName(several)), "linked")
-    discard(shared, keyed, active, near, families)
+    discard(keyed, active, near, families)
 
     of_rep = reps.select("digest", F.col("doc_id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "digest").join(of_rep, "digest", "left")

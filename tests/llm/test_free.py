@@ -77,7 +77,7 @@ def near_copies(seed, n=40, size=120):
     return out
 
 
-@pytest.mark.parametrize("tile,broadcast", [(1024, 100_000), (8, 0)])
+@pytest.mark.parametrize("tile,broadcast", [(1024, 100_000), (8, 0), (8, 100_000)])
 def test_jaccard_as_brute_force(spark, monkeypatch, tile, broadcast):
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
