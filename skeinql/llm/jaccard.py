@@ -1,12 +1,12 @@
 """Similarity join on five-word shingles: every link with Jaccard >= 0.75, as classes of linked documents.
 
-1. A pass over the texts counts shingles in a sketch of CELLS cells, which only orders them: common ones last.
-2. A second pass makes each document's shingle set (64-bit hashes), a 128-bit digest of the set, and its first shingles
-   in that order: so many that two sets that reach the threshold have one of them in common, whatever they are. Equal
-   sets are one representative from here on.
-3. Representatives that share such a shingle meet in size-banded tiles: a tile holds sizes of one band and of the next,
-   as sizes further apart cannot reach the threshold. There, hashed bitmaps bound the overlap from above. What passes
-   gives only a spanning forest of each tile, never its pairs.
+1. A pass over the texts makes a 128-bit digest of each document's shingle set (64-bit hashes), and counts shingles in a
+   sketch of CELLS cells, which only orders them: common ones last. Equal sets are one representative from here on.
+2. A second pass takes each set's first shingles in that order: so many that two sets that reach the threshold have one
+   of them in common, whatever they are. Those that several representatives have make groups; equal groups are one.
+3. Representatives of a group meet in size-banded tiles: a tile holds sizes of one band and of the next, as sizes
+   further apart cannot reach the threshold. There, hashed bitmaps bound the overlap from above. What passes gives only
+   a spanning forest of each tile, never its pairs.
 4. The families that those forests tie together hold every link, as the bound never falls short. Each family is tiled
    in the same way; there the sorted hash arrays of pairs that pass the bound are intersected exactly.
 
@@ -21,6 +21,7 @@ without rows gives one. Only doc_id and text are read; other columns may have an
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -293,70 +294,80 @@ def _hot_edges(rows: DataFrame, sets: DataFrame, on: list[str]) -> DataFrame:
     return met.unionByName(stars.where("doc_id <> star").select(F.col("doc_id").alias("u"), F.col("star").alias("v")))
 
 
-def _counted(batches, width: int):
+def _digests(batches, width: int):
+    """(doc_id, n, digest) of each row, and at the end a row of the task's sketch."""
     cache, counts, waiting, size = _WordHash(), np.zeros(CELLS, np.int64), [], 0
+    names = ["doc_id", "n", "digest", "sketch"]
 
     def settle() -> None:
-        nonlocal size
         if waiting:
             counts.__iadd__(np.bincount(np.concatenate(waiting), minlength=CELLS))
-        waiting.clear()
-        size = 0
+            waiting.clear()
 
     for b in slices(batches):
-        for text in b.column(0).to_pylist():
+        n, digest = [], []
+        for text in b.column(1).to_pylist():
             s = shingle_set(text, cache, width)
+            n.append(len(s))
+            digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             waiting.append((s & _M(CELLS - 1)).astype(np.int64))
             size += len(s)
             if size > CELLS:
                 settle()
+                size = 0
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(len(n), pa.binary())], names)
     settle()
     (at,) = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+    packed = zlib.compress(np.stack([at, counts[at]]).astype(np.int64).tobytes(), 1)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
+
 
+def _cells(batches):
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            at, n = np.frombuffer(zlib.decompress(x), np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n)], ["cell", "n"])
 
-def shingle_classes(texts: DataFrame, width: int) -> np.ndarray:
-    """Class of each cell of the sketch, over all rows of ``texts``: tasks' sketches are summed before they are fetched."""
-    rows = texts.select("text").mapInArrow(lambda b: _counted(b, width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+
+def shingle_classes(sketches: DataFrame) -> np.ndarray:
+    """Class of each cell, over all documents: tasks' sketches are summed before they are fetched."""
+    rows = sketches.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     counts = np.zeros(CELLS, np.int64)
     counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return common_classes(counts)
 
 
-def _sets(batches, width: int, classes: np.ndarray):
+def _prefixes(batches, width: int, classes: np.ndarray):
     cache = _WordHash()
     for b in slices(batches):
-        ids, n, digest, keys, light = b.column(0), [], [], [], []
+        out: tuple[list, ...] = ([], [], [], [], [])
         for text in b.column(1).to_pylist():
             s = shingle_set(text, cache, width)
-            first, plain = prefix(s, classes) if len(s) else (s, 0)
-            n.append(len(s))
-            light.append(plain)
-            digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-            keys.append(first.tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary()), pa.array(light, pa.int32())], ["doc_id", "n", "digest", "keys", "light"])
+            first, light = prefix(s, classes) if len(s) else (s, 0)
+            row = len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, first.tobytes(), light, bitmap(s, bits_for(len(s))).tobytes() if len(s) else b""
+            for column, x in zip(out, row, strict=True):
+                column.append(x)
+        types = pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, types)], ["doc_id", "n", "digest", "keys", "light", "bits"])
 
 
 def _keyed(batches):
-    """(key, doc_id, code) for each shingle of a prefix; code: size * 4 + 2 if it is early enough for a smaller set + 1 if it is common."""
+    """(key, doc_id) for each shingle of a prefix; the last two bits of a key: is it early enough for a smaller set; is it common."""
     for b in slices(batches):
         keys = b.column(2).to_pylist()
         count = np.fromiter((len(k) // 8 for k in keys), np.int64, len(keys))
         n, light = b.column(1).to_numpy(), b.column(3).to_numpy()
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         early = place < np.repeat(n - (6 * n + 6) // 7 + 1, count)
-        code = np.repeat(n * 4, count) + 2 * early + (place >= np.repeat(light, count))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(code)], ["key", "doc_id", "code"])
+        key = np.frombuffer(b"".join(keys), np.int64) & -4 | 2 * early | (place >= np.repeat(light, count))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), count))], ["key", "doc_id"])
 
 
 def _arrays(batches, width: int):
     cache = _WordHash()
     for b in slices(batches):
         sets = [shingle_set(x, cache, width) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, bits_for(len(s))).tobytes() for s in sets], pa.binary())],
-            ["doc_id", "n", "hashes", "bits"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "hashes"])
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -366,29 +377,33 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     a doc_id.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(texts, width))  # CELLS bytes
-    sets = written(texts.mapInArrow(lambda b: _sets(b, width, classes.value), "doc_id long, n long, digest binary, keys binary, light int"), "sets")
+    sets = written(texts.mapInArrow(lambda b: _digests(b, width), "doc_id long, n long, digest binary, sketch binary"), "sets")
+    classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(sets.where("sketch is not null").select("sketch")))  # CELLS bytes
+    sets = sets.where("sketch is null").drop("sketch")
     valid = sets.where("doc_id is not null and n > 0")
-    reps = written(valid.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "light")).alias("r")).select("digest", "r.*"), "representatives")
+    reps = written(valid.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "representatives")
 
-    keyed = reps.select("doc_id", "n", "keys", "light").mapInArrow(_keyed, "key long, doc_id long, code long")
+    marked = texts.mapInArrow(lambda b: _prefixes(b, width, classes.value), "doc_id long, n long, digest binary, keys binary, light int, bits binary")
+    marked = written(marked.join(shuffled(reps), ["digest", "doc_id"], "left_semi").select("doc_id", "n", "keys", "light", "bits"), "prefixes")
+    keyed = marked.select("doc_id", "n", "keys", "light").mapInArrow(_keyed, "key long, doc_id long")
     # what the sketch calls common is shared, and may be by very many: only the others are gathered by shingle
-    rare = keyed.where("code & 1 = 0").withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1").drop("shared")
-    keyed = rare.unionByName(keyed.where("code & 1 = 1")).select("key", "doc_id", F.expr("code div 4").alias("n"), F.expr("code & 2 = 2").alias("early"))
-    keyed = written(keyed, "prefixes")
-    active = written(keyed.select("doc_id").distinct(), "active")
-    near = texts.join(shuffled(active), "doc_id", "left_semi").mapInArrow(lambda b: _arrays(b, width), "doc_id long, n long, hashes binary, bits binary")
-    near = written(near, "arrays")
-
-    families = written(components(_linked(keyed, "key", near.select("doc_id", "bits"), ["doc_id"])), "families")
+    over, early = Window.partitionBy(F.expr("key & -4")), F.expr("key & 2 = 2").alias("early")
+    rare = keyed.where("key & 1 = 0").repartition(F.expr("key & -4")).withColumn("g", F.count("*").over(over)).where("g > 1").withColumn("who", F.bit_xor(F.xxhash64("doc_id")).over(over))
+    rare = rare.select(F.xxhash64("g", "who").alias("key"), "doc_id", early)  # groups of the same documents are one
+    keyed = rare.unionByName(keyed.where("key & 1 = 1").select(F.xxhash64(F.expr("key & -4")).alias("key"), "doc_id", early))
+    keyed = keyed.groupBy("key", "doc_id").agg(F.max("early").alias("early"))
+    keyed = written(keyed.join(shuffled(marked.select("doc_id", "n")), "doc_id"), "groups")
+
+    families = written(components(_linked(keyed, "key", marked.select("doc_id", "bits"), ["doc_id"])), "families")
+    near = written(texts.join(shuffled(families.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(lambda b: _arrays(b, width), "doc_id long, n long, hashes binary"), "arrays")
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(near.select("doc_id", "n").distinct(), "doc_id").withColumn("early", F.lit(True))
-    exact = _linked(members, "family", near.select("doc_id", "n", "hashes"), ["doc_id", "n"])
+    exact = _linked(members, "family", near, ["doc_id", "n"])
 
     twins = valid.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").select("doc_id", "rep")
     several = twins.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v")
     several = several.select("doc_id", "v").join(twins, "doc_id").select(F.col("rep").alias("u"), "v")
     linked = written(components(exact.unionByName(several)), "linked")
-    discard(keyed, active, near, families)
+    discard(marked, keyed, near, families)
 
     of_rep = reps.select("digest", F.col("doc_id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "digest").join(of_rep, "digest", "left")
