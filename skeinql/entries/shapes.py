@@ -6,18 +6,26 @@ from pyspark.sql import functions as F
 
 from skeinql.entries.common import table
 from skeinql.functions import correlated as sub
-from skeinql.functions.expr import Agg, Typed, concat, constant, divided_by, function, null_if, plus, times, value, window
+from skeinql.functions.expr import Agg, Typed, cases, concat, constant, divided_by, function, null_if, plus, times, value, window
+from skeinql.functions.operators import JSON_CONTAINS, full_text
 from skeinql.inspection import filters_of, joins_of
 from skeinql.operators.engine import Engine
 from skeinql.plans.filters import maybe
 from skeinql.plans.query import Nested, Source, select_from
 from skeinql.plans.schema import Entity, Relation, Schema
-from skeinql.queries import _DOC, _OF, _ORD, _TOTALS, DL, OC, SCHEMA, C, D, L, O, _doc, _half, _money, _order, _put, _set
+from skeinql.queries import _DOC, _OF, _ORD, _TOTALS, DL, OC, SCHEMA, C, D, E, L, O, P, _doc, _half, _money, _order, _put, _set
 from skeinql.sources.catalog import Catalog
 
+_ODD = cases().when(lambda f: f.compare(function("pmod", E["event_id"], 2, type="bigint"), "eq", 1), "true").otherwise("false")
+_WRAPPED = concat('{"a":[{"x":1},{"b":', function("get_json_object", E["props"], "$.k"), ',"y":[1,2]}],"c":{"odd":', _ODD, "}}")
+
 # filters
 _put("not_in_fields", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (l_suppkey, l_partkey, 3) OR l_linenumber IS NULL")(select_from(L, L["l_orderkey"], L["l_linenumber"]).where(lambda f: f.not_in(L["l_linenumber"], [L["l_suppkey"], L["l_partkey"], 3])))
 _put("null_distinct_column", _DOC + "nullif(l.quality, 1) IS DISTINCT FROM nullif(l.toxic, 1)")(_doc(lambda f: f.distinct_from_column(null_if(DL["quality"], 1), null_if(DL["toxic"], 1))))
+_put("operator_json_deep", """SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::INT IN (7, 8) AND event_id % 2 = 1""")(
+    select_from(E, E["event_id"]).where(lambda f: f.or_(*(lambda g, k=k: g.op(JSON_CONTAINS, _WRAPPED, {"a": [{"b": k}], "c": {"odd": True}}) for k in (7, 8))))
+)
+_put("operator_full_text_english", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '\\bwidget(s|es)?\\b')")(select_from(P, P["p_partkey"]).where(lambda f: f.op(full_text("english"), P["p_name"], "the widgets")))
 
 
 def _dear(least: float):
@@ -93,8 +101,8 @@ _NO, _TENANT = Typed(function("floor", divided_by(Typed(C["c_custkey"], "double"
 _UP = Typed(function("floor", divided_by(Typed(_NO, "double"), 2.0)), "bigint")
 _PAIRS = select_from(C, _TENANT.named("tenant"), _NO.named("no"), _UP.named("up"), _TENANT.named("above"))
 _PAIRED = Source("pairs", _PAIRS.where(lambda f: f.eq(_NO, 1)), key=("tenant", "no")).recursive("tenant,no", "above,up", 40, depth="level", links=_PAIRS.where(lambda f: f.gt(_NO, 1)))
-_P = _PAIRED.table()
-_put("recursive_composite", "WITH RECURSIVE k AS (SELECT c_custkey % 3 AS tenant, c_custkey // 3 AS no FROM customer), t AS (SELECT tenant, no, 0::BIGINT AS level FROM k WHERE no = 1 UNION ALL SELECT k.tenant, k.no, t.level + 1 FROM k JOIN t ON k.tenant = t.tenant AND k.no // 2 = t.no WHERE k.no > 1) SELECT tenant, no, level FROM t")(select_from(_P, *_P.cols("tenant", "no", "level")))
+_PP = _PAIRED.table()
+_put("recursive_composite", "WITH RECURSIVE k AS (SELECT c_custkey % 3 AS tenant, c_custkey // 3 AS no FROM customer), t AS (SELECT tenant, no, 0::BIGINT AS level FROM k WHERE no = 1 UNION ALL SELECT k.tenant, k.no, t.level + 1 FROM k JOIN t ON k.tenant = t.tenant AND k.no // 2 = t.no WHERE k.no > 1) SELECT tenant, no, level FROM t")(select_from(_PP, *_PP.cols("tenant", "no", "level")))
 
 # expressions
 _put("constants", "SELECT o_orderkey, 7 AS seven, 'x' AS x, o_orderkey + 2 AS more FROM orders")(select_from(O, O["o_orderkey"], constant(7).named("seven"), value("x").named("x"), plus(O["o_orderkey"], value(2)).named("more")))

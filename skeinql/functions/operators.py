@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -52,6 +53,44 @@ def _overlaps(c, v):
     return F.arrays_overlap(c, _column(v))
 
 
+class _JsonContains(Operator):
+    """JSON that is known when the query is made is compared at any depth, a column's as flat objects."""
+
+    def over(self, of: Scalar, v: Any) -> Custom:
+        if v is None or isinstance(v, Scalar):
+            return super().over(of, v)
+        known = json.loads(v) if isinstance(v, str) else v
+        return Custom(f"{self.name}{json.dumps(known, sort_keys=True)}", lambda c: _holds(c, known), (of,))
+
+
+def _holds(c: Any, v: Any) -> Any:
+    """Does the JSON text ``c`` contain ``v``? Objects by their keys, arrays by their elements in any order; a null is an absent value."""
+    from pyspark.sql import functions as F
+
+    no = F.lit(False)
+    if isinstance(v, dict):
+        out = F.coalesce(F.ltrim(c).startswith("{"), no)
+        for k, x in v.items():
+            out = out & _holds(F.get_json_object(c, f"$['{k}']"), x)
+        return out
+    if isinstance(v, list):
+        out = F.coalesce(F.ltrim(c).startswith("["), no)
+        for x in v:
+            out = out & F.coalesce(F.exists(F.from_json(c, "array<string>"), _element(x)), no)
+        return out
+    if v is None:
+        return c.isNull()
+    if isinstance(v, bool):
+        return F.coalesce(c == str(v).lower(), no)
+    if isinstance(v, (int, float)):
+        return F.coalesce(c.try_cast("double") == float(v), no)
+    return F.coalesce(c == F.lit(v), no)
+
+
+def _element(v: Any) -> Callable:
+    return lambda e: _holds(e, v)
+
+
 def _json(c, v):
     from pyspark.sql import functions as F
 
@@ -60,10 +99,28 @@ def _json(c, v):
     return F.size(F.array_except(F.map_entries(F.from_json(v, kind)), F.map_entries(F.from_json(c, kind)))) == 0
 
 
-def _text(c, v):
-    from pyspark.sql import functions as F
+#: Words that the english configuration leaves out, and endings that it cuts off.
+_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "the", "to", "with")
+_ENDINGS = "(?<=[a-z]{3})(?:ings?|ed|es|s)$"
+
+
+def full_text(configuration: str = "simple") -> Operator:
+    """All words of the value are words of the column, in any order and case; ``english`` ignores stop words and endings."""
+    if configuration not in ("simple", "english"):
+        raise Refused(Code.UNKNOWN_NAME, configuration)
+
+    def test(c, v):
+        from pyspark.sql import functions as F
+
+        def words(x):
+            x = F.lit(x) if isinstance(x, str) else x
+            if configuration == "simple":
+                return _words(x)
+            return F.transform(F.filter(_words(x), lambda w: ~w.isin(*_STOP)), lambda w: F.regexp_replace(w, _ENDINGS, ""))
+
+        return F.size(F.array_except(words(v), words(c))) == 0
 
-    return F.size(F.array_except(_words(v), _words(c))) == 0
+    return Operator("full_text_match" if configuration == "simple" else f"full_text_match_{configuration}", test)
 
 
 def _ilike(c, v):
@@ -82,7 +139,6 @@ ILIKE = Operator("ilike", _ilike)
 REGEX_MATCH = Operator("regex_match", _rlike)
 ARRAY_CONTAINS = Operator("array_contains", _contains)
 ARRAY_OVERLAPS = Operator("array_overlaps", _overlaps)
-#: Of flat JSON objects; values are compared as text.
-JSON_CONTAINS = Operator("json_contains", _json)
-#: All words of the value are words of the column, in any order and case; no stemming.
-FULL_TEXT_MATCH = Operator("full_text_match", _text)
+#: Containment of JSON: objects, arrays and values at any depth.
+JSON_CONTAINS = _JsonContains("json_contains", _json)
+FULL_TEXT_MATCH = full_text()
