@@ -12,7 +12,8 @@
 
 Groups over TILE rows are not tiled as they are. Their rows first meet one pivot each, in pieces; those that pass are a
 star, and two members of one star need not meet. Then the largest star's rows, in blocks, meet all other rows, and
-these each other. A group of g near copies with r others so costs g + r * g / TILE rows, not g * g.
+these each other, also in blocks: no tile has more than about 2 * TILE rows, whatever the group. A group of g near copies
+with r others so costs g + r * g / TILE rows, not g * g.
 
 A null or empty text has no shingles and is linked with nothing. Texts of any length are read whole. Rows with one
 doc_id are one document, linked with what any of their texts is linked with; rows without a doc_id stand alone. A table
@@ -37,7 +38,7 @@ WIDTH, PERCENT = 5, 75
 #: Cells of the sketch; a cell is common from COMMON times the mean count on, and from COMMON * FEW counts on.
 CELLS, COMMON, FEW = 1 << 18, 4, 16
 #: Rows of a tile, and shingles of its rows together, beyond which a group is hot; rounds of stars in a hot group.
-TILE, TILE_SHINGLES, ROUNDS = 1024, 2_000_000, 4
+TILE, TILE_SHINGLES, ROUNDS = 512, 1_000_000, 4
 CACHE = 300_000
 _M = np.uint64
 
@@ -288,8 +289,10 @@ def _hot_edges(rows: DataFrame, sets: DataFrame, on: list[str]) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
 
     zero = F.lit(0)
-    others = F.concat(F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: place(0, i, zero)), F.transform(F.sequence(zero, F.col("salts") - 1), lambda i: place(1, F.least(salt, i), F.greatest(salt, i))))
-    rows = rows.withColumn("place", F.explode(F.when(F.col("main"), F.array(place(0, block, zero))).otherwise(others))).drop("main_star", "blocks", "salts")
+    blocks, salts = F.sequence(zero, F.col("blocks") - 1), F.sequence(zero, F.col("salts") - 1)
+    own = F.transform(salts, lambda j: place(0, block, j))
+    others = F.concat(F.transform(blocks, lambda i: place(0, i, salt)), F.transform(salts, lambda j: place(1, F.least(salt, j), F.greatest(salt, j))))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("main"), own).otherwise(others))).drop("main_star", "blocks", "salts")
     met = rows.join(sets, on).groupBy("group", "place").applyInArrow(_dealt, "u long, v long")
     return met.unionByName(stars.where("doc_id <> star").select(F.col("doc_id").alias("u"), F.col("star").alias("v")))
 

@@ -1,9 +1,15 @@
 """Language identification by nearest centroid.
 
 A text is a vector of hashed 1- to 3-grams of its letters (case folded, anything else a border), TF-IDF weighted and
-normalised. Each language has several centroids, by spherical k-means over a bounded sample; a text goes to the
-language of the nearest one by cosine. It is rejected if that cosine is far below what the sample's own texts of about
-its length reach.
+normalised; document frequencies are counted over all documents outside the held-out fold. Each language has several
+centroids, by spherical k-means over a bounded sample; a text goes to the language of the nearest one by cosine, of
+equally near ones to that which comes first by name. It is rejected if that cosine is far below what the sample's own
+texts of about its length reach.
+
+A null text, an empty one, or one without a letter is ``und`` with score 0 and rejected. Texts of any length are read
+whole, in slices. Rows that repeat, or that have a null doc_id, are judged alike, each as a row. A table without rows, or
+without a language to learn from, rejects all that it has. Only doc_id, text and, to learn, lang are read; other columns
+may have any name, and ``accepted`` passes them on.
 """
 
 from __future__ import annotations
@@ -113,9 +119,11 @@ def _bands(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, counts: np.ndarray, langs: list[str]):
-        df = (counts > 0).sum(0)
-        self.idf = np.log((1 + len(counts)) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    """``frequencies``: documents that hold each gram and documents in all; by default those of ``counts``."""
+
+    def __init__(self, counts: np.ndarray, langs: list[str], frequencies: tuple[np.ndarray, int] | None = None):
+        df, n = frequencies or ((counts > 0).sum(0), len(counts))
+        self.idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
         v, names = _vectors(counts, self.idf), np.array(langs, dtype=object)
         self.langs, parts = [], []
         for name in sorted(set(langs)):
@@ -143,9 +151,29 @@ class Model:
         return [(self.langs[b], float(s), bool(r)) if a else ("und", 0.0, True) for b, s, r, a in zip(best, score, out, any_letter, strict=True)]
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Rows of ``texts`` (text) that hold each gram, and rows in all; tasks' counts are summed before they are fetched."""
+
+    def run(batches):
+        held, n = np.zeros(DIMENSIONS + 1, np.int64), 0
+        for b in slices(batches):
+            for g in _grouped([x or "" for x in b.column(0).to_pylist()]):
+                held[:-1] += (g > 0).sum(0)
+            n += b.num_rows
+        held[-1] = n
+        (at,) = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["cell", "n"])
+
+    out = np.zeros(DIMENSIONS + 1, np.int64)
+    for cell, n in texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # DIMENSIONS + 1 rows at most
+        out[cell] = n
+    return out[:-1], int(out[-1])
+
+
 def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
-    """The model, from (text, lang) of about ``bound`` rows of ``docs`` outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "text", "lang")
+    """The model: frequencies from all of ``docs`` outside the held-out fold, centroids from (text, lang) of about ``bound`` of them."""
+    learnt = docs.where(F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
+    rows = learnt.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sample = bounded_sample(rows, "lang", bound).select("text", "lang")
 
     def sparse(batches):
@@ -163,7 +191,7 @@ def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
     counts = np.zeros((len(got), DIMENSIONS), np.int32)
     for i, r in enumerate(got):
         counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-    return Model(counts, [r["lang"] for r in got])
+    return Model(counts, [r["lang"] for r in got], document_frequencies(learnt) if got else None)
 
 
 def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -1,15 +1,21 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with calibrated output.
 
-Every token has a sparse random index vector; a token's context vector sums the index vectors of its neighbours in a
-bounded sample. Tokens are hashed to VOCABULARY places; words in capitals share one place, as numbers do. A document is the mean and the
-spread of its tokens' vectors, with a few shape measures. The network is fitted in numpy; a temperature, fitted on
-sample rows that the network has not seen, calibrates its probabilities.
+Every token has a sparse random index vector; a token's context vector sums the index vectors of its neighbours in all
+documents. Tokens are hashed to VOCABULARY places; words in capitals share one place, as numbers do. A document is the
+mean and the spread of its tokens' vectors, with a few shape measures. The network is fitted in numpy on a bounded sample
+of labelled rows; a temperature, fitted on sample rows that the network has not seen, calibrates its probabilities.
+
+A null text is empty; empty texts are scored as any other. Texts of any length are read whole. Documents that repeat, or
+that have a null doc_id, are scored alike, each as a row; a score at the threshold counts as over it. Without labels of
+both kinds every score is their share. A table without rows gives one. Only doc_id and text (and of labels doc_id and the
+label) are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,22 +61,92 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Unit vectors by place: the index vector plus the normalised sum of its neighbours' index vectors."""
+@lru_cache(1)
+def _sparse_index() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the index vectors' NONZERO largest components; a sign of 0 where a vector has fewer."""
     index = index_vectors()
-    context = np.zeros_like(index)
+    at = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :NONZERO]
+    return at, np.take_along_axis(index, at, 1)
+
+
+class Contexts:
+    """Sums of neighbours' index vectors by place, whole numbers, so that their order never shows."""
+
+    def __init__(self):
+        self.sums, self.waiting, self.size = np.zeros(VOCABULARY * WIDTH, np.int64), [], 0
+
+    def add(self, ids: np.ndarray) -> None:
+        for at in range(0, len(ids), 1_000_000):  # with REACH tokens of what follows
+            part = ids[at : at + 1_000_000 + REACH]
+            self.waiting.append((part, min(len(part), 1_000_000)))
+            self.size += len(part)
+            if self.size >= 1_000_000:
+                self.settle()
+
+    def settle(self) -> None:
+        where, signs = _sparse_index()
+        lefts, rights = [], []
+        for part, heads in self.waiting:
+            for k in range(1, REACH + 1):
+                n = min(heads, len(part) - k)
+                if n > 0:
+                    lefts.append(part[:n])
+                    rights.append(part[k : k + n])
+        self.waiting, self.size = [], 0
+        if not lefts:
+            return
+        a, b = np.concatenate(lefts).astype(np.int64), np.concatenate(rights).astype(np.int64)
+        for x, y in ((a, b), (b, a)):
+            for j in range(NONZERO):
+                self.sums += np.bincount(x * WIDTH + where[y, j], signs[y, j], VOCABULARY * WIDTH).astype(np.int64)
+
+    def vectors(self) -> np.ndarray:
+        """Unit vectors by place: the index vector plus the normalised context."""
+        self.settle()
+        context = self.sums.reshape(VOCABULARY, WIDTH).astype(np.float32)
+        context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+        out = context + index_vectors() / np.sqrt(NONZERO)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
+    c = Contexts()
     for ids in texts:
-        for k in range(1, REACH + 1):
-            for at in range(0, len(ids) - k, 20_000):
-                a, b = ids[at : at + 20_000 + k][:-k], ids[at + k : at + 20_000 + k]
-                n = min(len(a), len(b))
-                for x, y in ((a[:n], b[:n]), (b[:n], a[:n])):
-                    order = np.argsort(x, kind="stable")
-                    first = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-                    context[x[order][first]] += np.add.reduceat(index[y[order]], first, axis=0)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-    out = context + index / np.sqrt(NONZERO)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        c.add(ids)
+    return c.vectors()
+
+
+#: Pieces that a task's context sums travel in.
+PIECES = 64
+
+
+def corpus_vectors(docs: DataFrame) -> np.ndarray:
+    """Word vectors from the texts of all rows of ``docs``; tasks' sums are added up before they are fetched."""
+
+    def run(batches):
+        places, c = _Places(), Contexts()
+        for b in slices(batches):
+            for x in b.column(0).to_pylist():
+                c.add(_ids(x or "", places))
+        c.settle()
+        rows = [p.astype(np.int64) for p in c.sums.reshape(PIECES, -1)]
+        some = [i for i, p in enumerate(rows) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["piece", "sums"])
+
+    def added(batches):
+        total = np.zeros((PIECES, VOCABULARY * WIDTH // PIECES), np.int64)
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[i] += np.frombuffer(x, np.int64)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())], ["piece", "sums"])
+
+    schema = "piece int, sums binary"
+    c = Contexts()
+    out = c.sums.reshape(PIECES, -1)
+    for piece, sums in docs.select("text").mapInArrow(run, schema).repartition(PIECES, "piece").mapInArrow(added, schema).collect():  # PIECES rows
+        out[piece] += np.frombuffer(bytes(sums), np.int64)
+    return c.vectors()
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -98,8 +174,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     """Vectors and network; ``score`` gives the calibrated probability of label 1."""
 
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, share: float):
-        self.vectors = word_vectors(texts)
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, share: float, vectors: np.ndarray | None = None):
+        self.vectors = word_vectors(texts) if vectors is None else vectors
         y = labels.astype(np.float64)
         self.prior = min(max(share, 0.01), 0.99)
         if not len(y) or y.min() == y.max():
@@ -153,7 +229,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_ROWS) -> Model:
-    """The model, from about ``bound`` labelled rows outside the held-out fold."""
+    """The model: word vectors from all of ``docs``, the network from about ``bound`` labelled rows outside the held-out fold."""
 
     def tokens(batches):
         places = _Places()
@@ -163,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     share = labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     got = [(bytes(r["ids"]), r["label"]) for r in labelled(docs, labels, label, bound).mapInArrow(tokens, "ids binary, label int").collect()]
     got.sort(key=lambda r: (zlib.crc32(r[0]), r))  # an order of its own, whatever order rows came in
-    return Model([np.frombuffer(i, np.uint16).astype(np.int32) for i, _ in got], np.array([y for _, y in got]), 0.5 if share is None else share)
+    return Model([np.frombuffer(i, np.uint16).astype(np.int32) for i, _ in got], np.array([y for _, y in got]), 0.5 if share is None else share, corpus_vectors(docs) if got else None)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
