@@ -81,6 +81,14 @@ class Index:
             out[:, m, : len(b)] = p @ b.T
         return out
 
+    def byte_tables(self, q: np.ndarray) -> np.ndarray:
+        """Tables of two pairs each, by the byte that holds both codes."""
+        t = self.tables(q)
+        if t.shape[1] % 2:
+            t = np.concatenate([t, np.zeros((len(t), 1, CODES), np.float32)], 1)
+        byte = np.arange(256)
+        return t[:, ::2, byte & 15] + t[:, 1::2, byte >> 4]
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
@@ -110,12 +118,6 @@ def _packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def _unpacked(b: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty((len(b), 2 * b.shape[1]), np.uint8)
-    out[:, ::2], out[:, 1::2] = b & 15, b >> 4
-    return out[:, :n]
-
-
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -182,7 +184,8 @@ def _searched(rows: DataFrame, every: int, k: int, cells: int, probes: int) -> D
     entries = written(entries.mapInArrow(coded, f"uid string, ids array<long>, e {kind}, cell int, codes binary"), "codes")
     asked = entries.join(queries.select("uid").distinct(), "uid", "left_semi").select("uid", "e")
     asked = written(asked.mapInArrow(probed, f"uid string, e {kind}, cell int"), "probes")
-    sizes = entries.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("vb"))
+    size = max(BLOCK, min(8 * BLOCK, n // 64))  # each block gives k + 1 rows a query: larger ones where there are many
+    sizes = entries.groupBy("cell").count().select("cell", F.ceil(F.col("count") / size).cast("int").alias("vb"))
     sizes = sizes.join(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb")), "cell")
     sizes = F.broadcast(sizes)  # one row a cell
 
@@ -200,14 +203,14 @@ def _searched(rows: DataFrame, every: int, k: int, cells: int, probes: int) -> D
         if len(entry) and len(query):
             v, q = _matrix(entry["e"]).astype(np.float64), _matrix(query["e"]).astype(np.float64)
             nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-            codes = _unpacked(np.frombuffer(b"".join(entry["codes"].to_pylist()), np.uint8).reshape(len(v), -1), len(index.value.books))
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(entry["codes"].to_pylist()), np.uint8).reshape(len(v), -1).T)
             quids, ids = query["uid"].to_pylist(), entry["ids"].to_pylist()
             first = np.array([i[0] for i in ids])
             for at in range(0, len(q), 64):
-                tables = index.value.tables(q[at : at + 64] / nq[at : at + 64, None])
+                tables = index.value.byte_tables(q[at : at + 64] / nq[at : at + 64, None])
                 scan = np.zeros((len(tables), len(v)), np.float32)
-                for m in range(tables.shape[1]):
-                    scan += tables[:, m, :][:, codes[:, m]]
+                for m, two in enumerate(codes):
+                    scan += np.take(tables[:, m], two, axis=1)
                 top = min(RERANKED, len(v))
                 best = np.argpartition(-scan, top - 1, axis=1)[:, :top] if top < len(v) else np.tile(np.arange(len(v)), (len(scan), 1))
                 for r in range(len(scan)):
