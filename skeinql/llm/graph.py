@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, each a join and an aggregation."""
+"""Connected components by alternating large-star and small-star steps, each a join and an aggregation.
+
+The aggregations combine before the shuffle; a node of very many edges makes its partition of a join large on the side of
+the edges only, where AQE splits it, as the other side has one row a node.
+"""
 
 from __future__ import annotations
 

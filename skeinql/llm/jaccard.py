@@ -38,7 +38,7 @@ WIDTH, PERCENT = 5, 75
 #: Cells of the sketch; a cell is common from COMMON times the mean count on, and from COMMON * FEW counts on.
 CELLS, COMMON, FEW = 1 << 18, 4, 16
 #: Rows of a tile, and shingles of its rows together, beyond which a group is hot; rounds of stars in a hot group.
-TILE, TILE_SHINGLES, ROUNDS = 512, 1_000_000, 4
+TILE, TILE_SHINGLES, ROUNDS = 1024, 2_000_000, 4
 CACHE = 300_000
 _M = np.uint64
 
@@ -402,14 +402,18 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(near.select("doc_id", "n").distinct(), "doc_id").withColumn("early", F.lit(True))
     exact = _linked(members, "family", near, ["doc_id", "n"])
 
-    twins = valid.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").select("doc_id", "rep")
-    several = twins.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v")
+    # an id with several texts ties their representatives; only such ids are looked up
+    several = valid.groupBy("doc_id").agg(F.countDistinct("digest").alias("texts")).where("texts > 1").select("doc_id")
+    twins = valid.join(shuffled(several), "doc_id", "left_semi").join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").select("doc_id", "rep")
+    several = twins.groupBy("doc_id").agg(F.min("rep").alias("v"))
     several = several.select("doc_id", "v").join(twins, "doc_id").select(F.col("rep").alias("u"), "v")
     linked = written(components(exact.unionByName(several)), "linked")
     discard(marked, keyed, near, families)
 
     of_rep = reps.select("digest", F.col("doc_id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sets.select("doc_id", "n", "digest").join(of_rep, "digest", "left")
+    # copies in any number share a digest: AQE splits what they make large; rows without one meet nobody
+    out = sets.where("n > 0").join(of_rep, "digest", "left").select("doc_id", "n", "component_id")
+    out = out.unionByName(sets.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -105,6 +105,26 @@ def test_jaccard_as_brute_force(spark, monkeypatch, tile, broadcast):
     assert len(ids) == len(set(ids)) == len({r.component_id for r in got if r.component_id is not None})
 
 
+def test_jaccard_of_many_near_copies_and_a_common_passage(spark, monkeypatch):
+    """20,000 distinct near copies are one class, and cost rows in proportion; a passage in 3,000 others links nobody."""
+    r = random.Random(11)
+    base, passage = words(1, 120, 5000).split(), words(2, 30, 5000)
+    rows = []
+    for i in range(20_000):
+        w = list(base)
+        w[r.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100_000 + i, words(1000 + i, 40, 100_000) + " " + passage + " " + words(90_000 + i, 30, 100_000)) for i in range(3000)]
+    rows += [(200_000, " ".join(base)), (200_001, " ".join(base[:112])), (200_002, " ".join(base[:60]))]
+    moved: list = []
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, label: (lambda out: (moved.append((label, out.count())), out)[1])(kept(df, label)))
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {got[i] for i in range(20_000)} == {0} and got[200_000] == got[200_001] == 0
+    assert all(got[i] == i for i in (*range(100_000, 103_000), 200_002))
+    assert max(n for _, n in moved) < 40 * len(rows), moved
+
+
 def test_bitmap_bound_is_never_below_the_truth():
     r = np.random.default_rng(0)
     for _ in range(50):
