@@ -20,11 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinql.llm.shared import slices
+from skeinql.llm.shared import release, slices
 
 LONG = 256
 #: Distinct pieces whose ids a task keeps; beyond that it starts anew.
-CACHE = 250_000
+CACHE = 100_000
+#: Cells of a matrix.
+CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)
 _BUCKETS = (2, 4, 8, 16, 32, 64, 128, LONG)
 
@@ -51,7 +53,7 @@ class PairTable:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     values.append(r)
-        size = 1 << max(4, (4 * len(keys)).bit_length())
+        size = 1 << max(4, (2 * len(keys)).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys = np.full(size, -1, np.int64)
         self.values = np.full(size, NONE, np.int32)
@@ -113,8 +115,9 @@ class Codec:
             else:
                 order.setdefault(next(b for b in _BUCKETS if len(p) <= b), []).append(i)
         for width, rows in order.items():
-            for at in range(0, len(rows), 1 << 14):
-                self._matrix([pieces[i] for i in rows[at : at + (1 << 14)]], width, rows[at : at + (1 << 14)], out)
+            step = max(64, CELLS // width)
+            for at in range(0, len(rows), step):
+                self._matrix([pieces[i] for i in rows[at : at + step]], width, rows[at : at + step], out)
         return out
 
     def _matrix(self, pieces: list[bytes], width: int, rows: list[int], out: list) -> None:
@@ -203,7 +206,7 @@ def _codec(vocabulary) -> Codec:
 
 
 #: Texts are encoded together up to so many characters, so that what a task holds does not follow the batch.
-GROUP = 2_000_000
+GROUP = 1_000_000
 
 
 def _groups(texts: list[str]):
@@ -233,6 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for part, texts in _parts(b):
                 yield pa.RecordBatch.from_arrays([part, pa.array(codec.encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
         codec.ids = {}
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
@@ -275,6 +279,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     a.append(sha(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     d.append(sha(codec.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.ids = {}  # workers outlive tasks
+        codec.ids = {}
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinql.llm.graph import components
-from skeinql.llm.shared import BROADCAST_ROWS, discard, fresh, shuffled, slices, small_or_shuffled, written
+from skeinql.llm.shared import BROADCAST_ROWS, discard, fresh, release, shuffled, slices, small_or_shuffled, written
 
 WIDTH, PERCENT = 5, 75
 #: Cells of the sketch; a cell is common from COMMON times the mean count on, and from COMMON * FEW counts on.
 CELLS, COMMON, FEW = 1 << 18, 4, 16
 #: Rows of a tile, and shingles of its rows together, beyond which a group is hot; rounds of stars in a hot group.
 TILE, TILE_SHINGLES, ROUNDS = 1024, 2_000_000, 4
-CACHE = 300_000
+CACHE = 150_000
 _M = np.uint64
 
 
@@ -323,6 +323,8 @@ def _digests(batches, width: int):
     (at,) = np.nonzero(counts)
     packed = zlib.compress(np.stack([at, counts[at]]).astype(np.int64).tobytes(), 1)
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
+    cache.clear()
+    release()
 
 
 def _cells(batches):
@@ -352,6 +354,8 @@ def _prefixes(batches, width: int, classes: np.ndarray):
                 column.append(x)
         types = pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
         yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, types)], ["doc_id", "n", "digest", "keys", "light", "bits"])
+    cache.clear()
+    release()
 
 
 def _keyed(batches):
@@ -371,6 +375,8 @@ def _arrays(batches, width: int):
     for b in slices(batches):
         sets = [shingle_set(x, cache, width) for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "hashes"])
+    cache.clear()
+    release()
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinql.llm.shared import bounded_sample, remainder, slices
+from skeinql.llm.shared import bounded_sample, release, remainder, slices
 
 BITS = 13
 DIMENSIONS = 1 << BITS
@@ -224,5 +224,6 @@ def accepted(docs: DataFrame) -> DataFrame:
             texts = [x or "" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
             keep = [not r[2] for g in _grouped(texts) for r in shared.value.predict(g)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
