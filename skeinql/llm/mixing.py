@@ -2,7 +2,9 @@
 
 Slot i of the mix is the golden-ratio point i * MULTIPLIER mod 2**32; the source in whose stretch of the cumulative
 targets it falls owns the slot. Each source's documents, shuffled by a hash of their ids, form a line of words that is
-read up to ``repeats`` times over and cut into blocks of equal size; a source's k-th slot takes its k-th block.
+read up to ``repeats`` times over and cut into blocks of equal size; a source's k-th slot takes its k-th block. Slots are
+few and blocks large where the corpus is, so what a source's slots give may lie off its target by more than a small source
+has: each source is settled to the word, by its last block cut or by further slots at the end of the mix.
 
 Positions on a line and ranks of slots are two-level sums (within a chunk, then over the chunks' totals), so that no
 source is sorted in one task.
@@ -73,14 +75,14 @@ def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
     return _before(owned, "sid", "part", ["slot"], F.lit(1)).select("slot", "sid", F.col("at").alias("rank"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int | None = None, settle: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, text and source are read).
 
     taken: the words of the document in the blocks that the schedule takes, repeats counted, ``repeats`` times its size
     at most. Rows that repeat, or that have a null doc_id, are shuffled as rows of their own, those of one hash (ties) by
     doc_id and size. A null or empty text has no words and gets 0; texts of any length are counted whole. A null source is
     a source. An empty table gives none. Other columns of ``docs`` may have any name.
-    With ``settle``, a source that no slot falls to gets further slots, the last one cut at its target.
+    Those of a source add up to its target, rounded down.
     """
     other = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("other")  # rows without an id are told apart by their texts
     base = docs.select("doc_id", other, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -89,15 +91,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     block = block or block_size(total)
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     slots = written(schedule(targets, total, block), "schedule")
-    known = targets.join(slots.groupBy("sid").agg(F.count("*").alias("blocks")), "sid", "left").withColumn("known", F.col("source"))
-    rest = F.floor("target").cast("long")
-    known = known.withColumn("further", F.col("blocks").isNull() & (rest > 0) & F.lit(settle))
-    known = known.withColumn("limit", F.when(F.col("further"), rest).otherwise(F.col("blocks") * block)).withColumn("blocks", F.when(F.col("further"), F.ceil(rest / block)).otherwise(F.col("blocks")))
-    known = written(known.drop("source"), "known")
-    if settle:
-        more = known.where("further").select("sid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("rank"))
-        slots = slots.select("sid", "rank").unionByName(more)
-    known = small_or_shuffled(known.drop("further"))
+    limit = F.floor("target").cast("long")
+    known = targets.join(slots.groupBy("sid").agg(F.count("*").alias("had")), "sid", "left").withColumn("known", F.col("source")).withColumn("had", F.coalesce("had", F.lit(0)).cast("long"))
+    known = written(known.withColumn("limit", limit).withColumn("blocks", F.ceil(F.col("limit") / block)).drop("source"), "known")
+    more = known.where("blocks > had").select("sid", F.explode(F.sequence("had", F.col("blocks") - 1)).alias("rank"))
+    slots = slots.select("sid", "rank").unionByName(more)
+    known = small_or_shuffled(known.drop("had"))
     placed = base.join(known, base["source"].eqNullSafe(known["known"])).drop("known")
 
     depth = max(1, min(6, round(math.log(max(rows, 1), 16) / 2)))  # chunks about as many as the rows of one
@@ -108,7 +107,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     line = line.where(first < F.col("blocks")).withColumn("rank", F.explode(F.sequence(first, F.least(last, F.col("blocks") - 1))))
     part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block, "limit") - F.greatest("start", F.col("rank") * block))
-    taken = line.join(slots.select("sid", "rank"), ["sid", "rank"]).groupBy("sid", "at").agg(F.sum(part).alias("taken"))
+    taken = line.join(slots, ["sid", "rank"]).groupBy("sid", "at").agg(F.sum(part).alias("taken"))
     used = placed.where("size > 0").join(taken, ["sid", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return used.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
@@ -116,34 +115,28 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix begins to read them, all columns as they are; rows it never reaches go.
 
-    The blocks have LEAST_BLOCK words at any size, so that slots grow with the corpus and each source comes near its
-    target. Rows of one doc_id share what is taken of all of them. Rows without an id, or without a word, have nothing
+    Rows of one doc_id share what is taken of all of them. Rows without an id, or without a word, have nothing
     to mix and stay as they are, once.
     """
     own, count, turn = fresh(docs, "id", "times", "turn")
     share = F.least(F.lit(repeats), F.ceil(F.sum("taken") / F.sum("size"))).cast("int")
-    times = mixed(docs, weights, repeats, LEAST_BLOCK, settle=True).where("doc_id is not null and size > 0").groupBy(F.col("doc_id").alias(own)).agg(share.alias(count))
+    times = mixed(docs, weights, repeats).where("doc_id is not null and size > 0").groupBy(F.col("doc_id").alias(own)).agg(share.alias(count))
     out = docs.join(shuffled(times), docs["doc_id"] == F.col(own), "left").withColumn(turn, F.explode(F.array_repeat(F.lit(0), F.coalesce(count, F.lit(1)))))
     return out.select(*docs.columns)
 
 
-SQL = f"""
+SQL = """
 WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM base GROUP BY source),
 weighed AS (SELECT *, ([5, 2, 1])[(sid % 3 + 1)::INT]::BIGINT AS weight, source_size * 3 AS cap FROM sums),
 steps AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS step
   FROM weighed WINDOW b AS (ORDER BY cap::DOUBLE / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, sid, source_size, least(cap::DOUBLE, max(step) OVER () * weight) AS target FROM steps),
-size_of AS (SELECT sum(size)::BIGINT AS total, greatest({LEAST_BLOCK}, least({MOST_BLOCK}, (sum(size) // {SLOTS})))::BIGINT AS block FROM base),
-shares AS (SELECT sid, floor(target)::BIGINT AS t, sum(floor(target)::BIGINT) OVER ()::BIGINT AS every, sum(floor(target)::BIGINT) OVER (ORDER BY sid)::BIGINT AS high FROM targets),
-arcs AS (SELECT sid, floor((high - t)::DOUBLE * {CIRCLE}.0::DOUBLE / every::DOUBLE)::BIGINT AS low, floor(high::DOUBLE * {CIRCLE}.0::DOUBLE / every::DOUBLE)::BIGINT AS high FROM shares WHERE t > 0),
-slots AS (SELECT i, (i * {MULTIPLIER}) % {CIRCLE} AS u FROM size_of, range(0, ceil(total / block)::BIGINT) r(i)),
-owned AS (SELECT sid, count(*) AS blocks FROM slots JOIN arcs ON low <= u AND u < high GROUP BY sid),
 placed AS (SELECT b.doc_id, b.size, t.sid, t.source_size, t.target,
     coalesce(sum(b.size) OVER (PARTITION BY t.sid ORDER BY md5(b.doc_id::VARCHAR), b.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_
   FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(at_ + size, coalesce(blocks, 0) * block) - at_) + greatest(0, least(at_ + size + source_size, coalesce(blocks, 0) * block) - at_ - source_size)
-   + greatest(0, least(at_ + size + 2 * source_size, coalesce(blocks, 0) * block) - at_ - 2 * source_size))::BIGINT AS taken
-FROM placed LEFT JOIN owned USING (sid), size_of
+  (greatest(0, least(at_ + size, upto) - at_) + greatest(0, least(at_ + size + source_size, upto) - at_ - source_size)
+   + greatest(0, least(at_ + size + 2 * source_size, upto) - at_ - 2 * source_size))::BIGINT AS taken
+FROM (SELECT *, floor(target)::BIGINT AS upto FROM placed)
 """

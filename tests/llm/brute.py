@@ -63,7 +63,7 @@ def redact(text, spans):
     return "".join(out) + text[end:] if spans else text
 
 
-def mixture(docs, slots, least, most, multiplier=2654435769):
+def mixture(docs):
     """[(doc_id, size, source_size, target, taken)]; docs: [(doc_id, text, source)]."""
     size = [(i, len(WORD.findall(t or "")), s) for i, t, s in docs]
     key = {(i, n, s): str(i) if i is not None else "text " + hashlib.md5((t or "").encode()).hexdigest() for (i, n, s), (_, t, _) in zip(size, docs, strict=True)}
@@ -83,27 +83,27 @@ def mixture(docs, slots, least, most, multiplier=2654435769):
             break
         target |= {s: float(3 * sums[s]) for s in above}
         free -= above
-    block = max(least, min(most, total // slots))
     whole = {s: int(target[s] + 1e-6) for s in names}
-    every, at, arcs = sum(whole.values()), 0, []
-    for s in names:
-        if whole[s]:
-            arcs.append((s, int(at * 4294967296.0 / every), int((at + whole[s]) * 4294967296.0 / every)))
-            at += whole[s]
-    blocks = Counter()
-    for i in range(-(-total // block)):
-        u = i * multiplier % 2**32
-        blocks[next(s for s, low, high in arcs if low <= u < high)] += 1
     out = []
     for s in names:
         at = 0
         for i, n, _ in sorted((x for x in size if x[2] == s), key=lambda x: (hashlib.md5(key[x].encode()).hexdigest(), x[0] or 0, x[1])):
-            taken = sum(max(0, min(at + e * sums[s] + n, blocks[s] * block) - at - e * sums[s]) for e in range(3))
+            taken = sum(max(0, min(at + e * sums[s] + n, whole[s]) - at - e * sums[s]) for e in range(3))
             out.append((i, n, sums[s], target[s], taken))
             at += n
     return out
 
 
+def slots(targets, n, multiplier=2654435769):
+    """Owner of each of the first n slots; targets: [(source, words)] in order."""
+    whole = [(s, int(t + 1e-6)) for s, t in targets if int(t + 1e-6)]
+    every, at, arcs = sum(t for _, t in whole), 0, []
+    for s, t in whole:
+        arcs.append((s, int(at * 4294967296.0 / every), int((at + t) * 4294967296.0 / every)))
+        at += t
+    return [next(s for s, low, high in arcs if low <= i * multiplier % 2**32 < high) for i in range(n)]
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 

@@ -131,7 +131,7 @@ def test_mixing_as_brute_force(spark):
     sources = [None, "b", "a", "é", "b", "b", "z", "A"]
     docs = frame(spark, texts, sources)
     got = sorted((tuple(r) for r in mixing.mixed(docs).collect()), key=str)
-    want = brute.mixture([(r.doc_id, r.text, r.source) for r in docs.collect()], mixing.SLOTS, mixing.LEAST_BLOCK, mixing.MOST_BLOCK)
+    want = brute.mixture([(r.doc_id, r.text, r.source) for r in docs.collect()])
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=str)]
     for g, w in zip(got, sorted(want, key=str), strict=True):
         assert g[3] == pytest.approx(w[3]) and g[4] == w[4] and g[4] <= 3 * g[1]
@@ -146,8 +146,21 @@ def test_small_sources_keep_their_place_in_a_large_mix(spark, monkeypatch):
     docs = spark.createDataFrame([(i, words(i, n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
     kept = {r.source: r.n for r in mixing.repeated(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert set(kept) == {s for s, _ in rows}
-    taken = mixing.mixed(docs, block=mixing.LEAST_BLOCK, settle=True).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
-    assert all(abs(r.taken - r.target) <= 4 * mixing.LEAST_BLOCK for r in taken)
+    taken = mixing.mixed(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(r.target - 1 < r.taken <= r.target for r in taken)
+
+
+def test_the_schedule_is_even_all_along(spark):
+    sizes = spark.createDataFrame([("a", 7000), ("b", 9000), ("c", 300), (None, 4000)], "source string, source_size long")
+    targets = [(r.sid, r.target) for r in mixing.source_targets(sizes).orderBy("sid").collect()]
+    got = mixing.schedule(mixing.source_targets(sizes), 20_300, 16).orderBy("slot").collect()
+    owners = brute.slots(targets, len(got))
+    assert [r.sid for r in got] == owners and len(got) == 1269
+    seen = {s: 0 for s, _ in targets}
+    for i, r in enumerate(got, 1):
+        assert r["rank"] == seen[r.sid]
+        seen[r.sid] += 1
+        assert all(abs(seen[s] - i * t / 20_300) < 4 for s, t in targets)  # after any number of slots
 
 
 def test_url_filter_as_brute_force(spark):

@@ -5,7 +5,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from skeinql.llm import bpe, language_id, mixing, secret_scan
+from skeinql.llm import bpe, language_id, secret_scan
 from tests.llm import brute
 from tests.llm.test_native import words
 
@@ -21,7 +21,7 @@ def test_pipeline_as_brute_force(spark):
     rows = [r for r in rows if least[r.doc_id] == r.doc_id]
     random = {r.doc_id: [tuple(int(x) for x in s.split(":")[1:]) for s in r.spans.split(",") if s.startswith("random")] for r in secret_scan.secret_spans(docs).collect()}
     texts = {r.doc_id: brute.redact(r.text, [*brute.base_spans(r.text), *((s, 3, e) for s, e in random[r.doc_id])]) for r in rows}
-    mix = brute.mixture([(r.doc_id, texts[r.doc_id], r.source) for r in rows], mixing.SLOTS, mixing.LEAST_BLOCK, mixing.MOST_BLOCK)
+    mix = brute.mixture([(r.doc_id, texts[r.doc_id], r.source) for r in rows])
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = []
