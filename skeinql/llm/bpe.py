@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from skeinql.llm.shared import release, slices
 
 LONG = 256
-#: Distinct pieces whose ids a task keeps; beyond that it starts anew.
-CACHE = 100_000
+#: Distinct pieces whose ids a task keeps; beyond that only those of the texts at hand.
+CACHE = 150_000
 #: Cells of a matrix.
-CELLS = 1 << 18
+CELLS = 1 << 20
 NONE = np.int32(2**31 - 1)
 _BUCKETS = (2, 4, 8, 16, 32, 64, 128, LONG)
 
@@ -182,10 +182,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.find(t) for t in texts]
-        new = [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids = {}
-            new = list(dict.fromkeys(p for pieces in cut for p in pieces))
+        here = dict.fromkeys(p for pieces in cut for p in pieces)
+        new = [p for p in here if p not in self.ids]
+        if len(self.ids) + len(new) > CACHE:  # common pieces are in most groups of texts: what this one has stays
+            self.ids = {p: self.ids[p] for p in here if p in self.ids}
         self.ids.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
         get = self.ids.__getitem__
         return [[i for p in pieces for i in get(p)] for pieces in cut]
@@ -206,7 +206,7 @@ def _codec(vocabulary) -> Codec:
 
 
 #: Texts are encoded together up to so many characters, so that what a task holds does not follow the batch.
-GROUP = 1_000_000
+GROUP = 2_000_000
 
 
 def _groups(texts: list[str]):
