@@ -166,7 +166,9 @@ def _lines_of(e: Engine, rows):
 _put("fetch_children_page", f"SELECT o_orderkey, {_COUNTED} (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(lambda e: _lines_of(e, e.page(_KEYED.child(_LINES).order_by(O["o_orderdate"].desc()), 40, 20).items))
 _put("fetch_children_keyset", f"SELECT o_orderkey, {_COUNTED} (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(lambda e: _lines_of(e, e.keyset(_KEYED.child(_LINES).order_by(O["o_orderdate"].desc()), 20).items))
 _put("fetch_children_by_keys", f"SELECT o_orderkey, {_COUNTED} orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3, 40) GROUP BY 1")(lambda e: _lines_of(e, e.by_keys(_KEYED.child(_LINES), [3, 40, 1, 2]).values()))
-_put("fetch_children_filtered", f"SELECT o_orderkey, {_COUNTED} orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_totalprice > 400000 GROUP BY 1")(lambda e: _lines_of(e, e.list(_KEYED.where(lambda f: f.gt(O["o_totalprice"], 400000)).child(_LINES.where(lambda f: f.eq(_LINES.table["l_returnflag"], "R"))))))
+_put("fetch_children_filtered", f"SELECT o_orderkey, {_COUNTED} orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_totalprice > 400000 GROUP BY 1")(
+    lambda e: e.frame(_KEYED.where(lambda f: f.gt(O["o_totalprice"], 400000)).child(_LINES.where(lambda f: f.eq(_LINES.table["l_returnflag"], "R")))).select("o_orderkey", F.size("lines").cast("long").alias("n"), F.coalesce(F.get("lines", F.lit(0))["l_quantity"], F.lit(0.0)).alias("most"))
+)
 _put("fetch_most", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(
     lambda e: e.frame(select_from(C, C["c_custkey"]).child(child("orders", C, "orders", lambda t: [t["o_orderkey"]], "c_custkey", most=1000))).select("c_custkey", F.size("orders").cast("long").alias("n"))
 )
