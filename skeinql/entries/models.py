@@ -127,7 +127,7 @@ _put("model_read", "SELECT o_orderkey AS id, o_orderstatus AS status, o_ordersta
     lambda e: table(e, [(o.id, o.status, o.label, o.customer.name, o.customer.segment) for o in e.list(Order.query().where(lambda f: f.gt(O["o_totalprice"], 300000)))], "id long, status string, label string, customer string, segment string")
 )
 _put("model_chosen", "SELECT o_orderkey AS id, o_totalprice AS price, 'id,price' AS selected FROM orders WHERE o_totalprice > 300000")(
-    lambda e: table(e, [(o.id, o.price, ",".join(sorted(o.selected))) for o in e.list(Order.query(["id", "price"]).where(lambda f: f.gt(O["o_totalprice"], 300000)))], "id long, price double, selected string")
+    lambda e: e.map(Order.query(["id", "price"]).where(lambda f: f.gt(O["o_totalprice"], 300000)), lambda o: (o.id, o.price, ",".join(sorted(o.selected))), "id long, price double, selected string")
 )
 _put("model_children", "SELECT o_orderkey AS id, count(l_orderkey) AS n, coalesce(min(l_linenumber), 0) AS least FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 40) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(
     lambda e: table(e, [(o.id, len(o.lines), o.lines[0].number if o.lines else 0) for o in e.list(OrderLines.query().order_by(O["o_totalprice"].desc()), 40)], "id long, n long, least int")

@@ -12,9 +12,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.conversion import ArrowTableToRowsConversion, LocalDataToArrowConversion
 
 from skeinql.errors import Code, Refused
 from skeinql.functions.expr import Col, Order
@@ -26,6 +28,8 @@ from skeinql.sources.catalog import Catalog
 
 #: Keys that are broadcast to a read by keys; more are joined as they come.
 BROADCAST_KEYS = 100_000
+#: Rows that ``map`` makes models of at a time.
+MAPPED_ROWS = 1024
 COUNT_MODES = ("count", "no_count", "only_count", "inline_count")
 
 
@@ -307,6 +311,13 @@ class Engine:
         for r in self.frame(q, True, limit).toLocalIterator(prefetchPartitions=True):
             yield from self._rows_to_models(q, [r])
 
+    def map(self, q: Query, make: Callable[[Any], tuple], schema: str) -> DataFrame:
+        """A row of ``schema`` for each model, made of it by ``make`` on the executors: lazy, nothing is gathered."""
+        if q.finisher is not None or q.enrichers:
+            raise Refused(Code.CUSTOMIZER, "a finisher or an enricher needs whole lists")
+        rows, into = self.frame(q), T.StructType.fromDDL(schema)
+        return rows.mapInArrow(_made(q.mapper, make, rows.schema, into), into)
+
     def export(self, q: Query, sink: Callable[[Any], None], transform: Callable[[list], list] | None = None, size: int = 1000) -> int:
         """Every row once, in order, to ``sink``; ``transform`` gets pages of ``size``. Gives the number of items."""
         if size < 1:
@@ -372,6 +383,19 @@ class Engine:
         return q.finisher(out) if q.finisher else out
 
 
+def _made(mapper: Callable[[Row], Any] | None, make: Callable[[Any], tuple], given: T.StructType, into: T.StructType) -> Callable:
+    """What ``map`` runs on batches of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, MAPPED_ROWS):
+                rows = ArrowTableToRowsConversion.convert(pa.Table.from_batches([b.slice(at, MAPPED_ROWS)]), given)
+                made = [make(mapper(r) if mapper else r) for r in rows]
+                yield from LocalDataToArrowConversion.convert(made, into, False).to_batches()
+
+    return run
+
+
 def _tuple(k: Any) -> tuple:
     return tuple(k) if isinstance(k, (tuple, list)) else (k,)
 

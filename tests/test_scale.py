@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
 import skeinql.entries  # noqa: F401
+from skeinql.errors import Code
+from skeinql.operators.fetch import child
+from skeinql.plans.query import Nested, select_from
 from skeinql.queries import QUERIES
+from tests.fixture import SCHEMA, engine
+from tests.test_filters import refused
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +25,22 @@ def ungathered(monkeypatch):
         monkeypatch.setattr(DataFrame, verb, refuse)
 
 
-@pytest.mark.parametrize("name", ["fetch_children_filtered"])
+@pytest.mark.parametrize("name", ["fetch_children_filtered", "model_chosen"])
 def test_whole_tables_stay_on_the_executors(spark, ungathered, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_map_gives_what_list_gives(spark):
+    e = engine(spark)
+    o, c = SCHEMA.root("orders"), SCHEMA.root("orders").join("referrer")
+    q = select_from(o, o["id"], o["total"], o["placed_at"], Nested("by", c, (c["name"].named("name"),))).child(child("items", o, "items", lambda t: [t["code"], t["price"]], "id", lambda t: [t["code"].asc()]))
+
+    def flat(r):
+        return r["id"], r["total"], r["placed_at"], r["by"] and r["by"]["name"], ",".join(f"{x.code}{x['price']}" for x in r["items"])
+
+    got = e.map(q, flat, "id long, total decimal(12,2), placed_at timestamp_ntz, name string, items string")
+    assert sorted(map(tuple, got.collect())) == sorted(map(flat, e.list(q)))
+    assert e.map(q.mapped(lambda r: r["id"] * 2), lambda n: (n,), "n long").agg({"n": "sum"}).first()[0] == 2 * sum(range(40))
+    assert e.map(q.where(lambda f: f.lt(o["id"], 0)), flat, "id long, total decimal(12,2), placed_at timestamp_ntz, name string, items string").count() == 0
+    with refused(Code.CUSTOMIZER):
+        e.map(q.mapped(None, list), flat, "id long")
