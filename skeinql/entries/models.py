@@ -124,7 +124,7 @@ class Below:
 
 
 _put("model_read", "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderstatus || '/' || o_orderpriority AS label, c_name AS customer, lower(c_mktsegment) AS segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000")(
-    lambda e: table(e, [(o.id, o.status, o.label, o.customer.name, o.customer.segment) for o in e.list(Order.query().where(lambda f: f.gt(O["o_totalprice"], 300000)))], "id long, status string, label string, customer string, segment string")
+    lambda e: e.map(Order.query().where(lambda f: f.gt(O["o_totalprice"], 300000)), lambda o: (o.id, o.status, o.label, o.customer.name, o.customer.segment), "id long, status string, label string, customer string, segment string")
 )
 _put("model_chosen", "SELECT o_orderkey AS id, o_totalprice AS price, 'id,price' AS selected FROM orders WHERE o_totalprice > 300000")(
     lambda e: e.map(Order.query(["id", "price"]).where(lambda f: f.gt(O["o_totalprice"], 300000)), lambda o: (o.id, o.price, ",".join(sorted(o.selected))), "id long, price double, selected string")

@@ -25,7 +25,7 @@ def ungathered(monkeypatch):
         monkeypatch.setattr(DataFrame, verb, refuse)
 
 
-@pytest.mark.parametrize("name", ["fetch_children_filtered", "model_chosen"])
+@pytest.mark.parametrize("name", ["fetch_children_filtered", "model_chosen", "model_read"])
 def test_whole_tables_stay_on_the_executors(spark, ungathered, name):
     assert QUERIES[name](spark, SF).count() > 0
 
