@@ -148,7 +148,7 @@ def _parted_children(e: Engine):
     lines = child("lines", t, "lines", lambda x: [x["l_linenumber"], x["l_quantity"]], "o_orderkey", lambda x: [x["l_linenumber"].asc()])
     lines = lines.key_groups(KeyGroups.by(lambda k: k % 8, lines.table["part"]))
     page = other.page(select_from(t, t["o_orderkey"]).child(lines).order_by(t["o_totalprice"].desc()), 10, 15)
-    return table(e, [(r["o_orderkey"], len(r["lines"]), sum(x["l_quantity"] for x in r["lines"])) for r in page.items], "o_orderkey long, n long, quantity double")
+    return table(e, [(r["o_orderkey"], len(r["lines"]), sum((x["l_quantity"] for x in r["lines"] if x["l_quantity"] is not None), 0.0)) for r in page.items], "o_orderkey long, n long, quantity double")
 
 
 _put("key_groups_children", "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(sum(l_quantity), 0) AS quantity FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 15 OFFSET 10) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(_parted_children)

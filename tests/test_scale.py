@@ -44,3 +44,11 @@ def test_map_gives_what_list_gives(spark):
     assert e.map(q.where(lambda f: f.lt(o["id"], 0)), flat, "id long, total decimal(12,2), placed_at timestamp_ntz, name string, items string").count() == 0
     with refused(Code.CUSTOMIZER):
         e.map(q.mapped(None, list), flat, "id long")
+
+
+def test_parents_without_lines_and_lines_without_quantity(spark, tmp_path):
+    """Orders 9 to 23 are on the page: those that 4 divides have no lines, of the others the second has no quantity."""
+    spark.createDataFrame([(i, 100.0 - i) for i in range(-1, 40)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, n, None if n == 2 else 1.5) for i in range(40) if i % 4 for n in (1, 2, 3)], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in QUERIES["key_groups_children"](spark, str(tmp_path)).collect()}
+    assert got == {(i, 3 if i % 4 else 0, 3.0 if i % 4 else 0.0) for i in range(9, 24)}
