@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from skeinql.errors import Code, Refused
 from skeinql.functions.expr import Col, Scalar, lifted
 from skeinql.operators.engine import Engine
-from skeinql.plans.compiler import Compiler, Scope
+from skeinql.plans.compiler import Compiler, Scope, literal
 from skeinql.plans.filters import All, conditions
 from skeinql.plans.query import Query
 from skeinql.plans.schema import Table
-from skeinql.sources.scratch import folder, remove, stored
+from skeinql.sources.scratch import folder
 
 MARK = "__written"
+#: Columns of a table that committed chunks have put in key order: whether the write has chosen a row, and its file's range.
+CHOSEN, RANGE = "__chosen", "__range"
+#: Committed steps that are written at a time.
+STEPS_AHEAD = 64
 #: New rows up to which an upsert broadcasts them; they are counted before.
 BROADCAST_ROWS = 100_000
 
@@ -260,16 +264,20 @@ class Writer:
 
         The rows are chosen once, from the table as it is when the first step begins. ``catalog.frames`` is set to what
         a step leaves: the table with the write on all keys so far, so that its plan is the same after each step. With
-        ``commit`` each step's table is written, in the folder that executors share, and read from there; the affected rows
-        of a step can be read until the next one is done.
+        ``commit`` the table is first written in key order, in the folder that executors share; the rows up to a step's
+        last key are written there before the step is given, and the table is these and the rows beyond. Each row is
+        read and written once, however many steps there are, and all of them see the table as it was before the first.
+        Steps are written one, two, four and so on at a time; where that fails, one by one up to the step that fails.
         """
         w._checked()
         if len(w.root.key) != 1:
             raise Refused(Code.NEEDS_KEY, "chunks need a key of one column")
         if size < 1:
             raise Refused(Code.PAGE_SIZE, str(size))
+        if commit:
+            yield from self._committed(w, size, start_after)
+            return
         key, last, name = w.root.key[0], start_after, w.root.entity.name
-        places: list[str] = []
         first = now = self.catalog.frame(name)
         while True:
             self.catalog.frames[name] = first
@@ -281,23 +289,82 @@ class Writer:
             if not keys:
                 self.catalog.frames[name] = now
                 return
-            low, last = last if commit else start_after, keys[-1]
+            last = keys[-1]
 
-            def upto(f: Any, low: Any = low, high: Any = last) -> None:
+            def upto(f: Any, high: Any = last) -> None:
                 f.lte(Col(w.root, key), high)
-                if low is not None:
-                    f.gt(Col(w.root, key), low)
+                if start_after is not None:
+                    f.gt(Col(w.root, key), start_after)
 
             affected = self._written(replace(w, condition=All(()), keys=tuple((k,) for k in keys), everything=False)).affected
             now = self._written(w.where(upto)).after
-            if commit:
-                places.append(folder(self.catalog.spark, f"{name}-step"))
-                first = now = stored(now, places[-1])
-                if len(places) > 2:  # the table before this step is what its affected rows are read from
-                    remove(self.catalog.spark, places.pop(0))
             self.catalog.frames[name] = now
             yield last, Written(now, affected)
 
+    def _committed(self, w: Update | Delete, size: int, start_after: Any) -> Iterator[tuple[Any, Written]]:
+        key, name, spark = w.root.key[0], w.root.entity.name, self.catalog.spark
+        first = self.catalog.frame(name)
+        names, kind, k = first.columns, first.schema[key].dataType, F.col(f"`{key}`")
+        scope, chosen = self._marked(w)
+        marked = scope.frame.withColumn(CHOSEN, chosen).select(*(scope.at(w.root, n).alias(n) for n in names), CHOSEN)
+        marked = marked.repartitionByRange(k).withColumn(RANGE, F.spark_partition_id()).sortWithinPartitions(RANGE, k)
+        place = folder(spark, f"{name}-before")
+        marked.write.partitionBy(RANGE).parquet(place)
+        before = spark.read.schema(marked.schema).parquet(place)
+        ranges, ends = self._ends(before, k, size, None if start_after is None else k > literal(start_after).cast(kind))
+        self.catalog.frames[name] = before
+        try:
+            flagged = replace(w, condition=All(()), keys=None, everything=False).where(lambda f: f.eq(Col(w.root, CHOSEN), True))
+            written = self._written(flagged)
+        finally:
+            self.catalog.frames[name] = first
+
+        def within(low: Any, high: Any) -> Column:
+            here = [r for r, least, most in ranges if least <= high and (low is None or most > low)]
+            step = F.col(RANGE).isin(here) & (k <= literal(high).cast(kind))
+            return step if low is None else step & (k > literal(low).cast(kind))
+
+        path, kept, done = folder(spark, f"{name}-step"), None, None
+        at, ahead, most, low = 0, 1, STEPS_AHEAD, start_after
+        while at < len(ends):
+            steps = ends[at : at + ahead]
+            after = written.after.where(within(low, steps[-1])).select(*names)
+            try:
+                after.write.mode("append").parquet(path)
+            except Exception:
+                if len(steps) == 1:
+                    raise
+                ahead = most = 1  # the steps before the one that fails are done, at a place that has nothing of this try
+                path, kept = folder(spark, f"{name}-step"), done
+                continue
+            done = spark.read.schema(after.schema).parquet(path)
+            done = done if kept is None else kept.unionByName(done)
+            for high in steps:
+                beyond = k.isNull() | (k > literal(high).cast(kind))
+                if start_after is not None:
+                    beyond = beyond | (k <= literal(start_after).cast(kind))
+                now = done.where(k <= literal(high).cast(kind)).unionByName(before.where(beyond).select(*names))
+                affected = written.affected.where(within(low, high)).select(*names)
+                self.catalog.frames[name], low = now, high
+                yield high, Written(now, affected)
+            at, ahead = at + len(steps), min(2 * ahead, most)
+
+    def _ends(self, before: DataFrame, k: Column, size: int, after: Column | None) -> tuple[list[tuple], list]:
+        """Ranges with their least and greatest keys, and each ``size``-th chosen key and the last: counted a range."""
+        counted = F.col(CHOSEN) & k.isNotNull() & (F.lit(True) if after is None else after)
+        found = before.where(k.isNotNull()).groupBy(RANGE).agg(F.min(k), F.max(k), F.count_if(counted)).collect()
+        found.sort(key=lambda r: r[1])
+        total, starts = 0, []
+        for r in found:
+            starts.append((r[0], total))
+            total += r[3]
+        if not total:
+            return [], []
+        begun = self.catalog.spark.createDataFrame(starts, f"{RANGE} int, __start long")
+        place = F.col("__start") + F.row_number().over(Window.partitionBy(RANGE).orderBy(k))
+        ends = before.where(counted).join(F.broadcast(begun), RANGE).select(k.alias("k"), place.alias("n")).where((F.col("n") % size == 0) | (F.col("n") == total))
+        return [tuple(r)[:3] for r in found], list(dict.fromkeys(r[0] for r in ends.orderBy("n").collect()))
+
     def _written(self, w: Update | Delete) -> Written:
         return self.update(w) if isinstance(w, Update) else self.delete(w)
 
